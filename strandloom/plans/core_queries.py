@@ -456,18 +456,17 @@ def _records(spark, d):
     return records.read_records(table(spark, d, "ncbi_raw"))
 
 
-_CELL = r'("(?:[^"]|"")*"|[^"\t][^\t]*|)'
+_CELL = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'
 
 
 def _p1_sql() -> str:
     cells = "\\t".join([_CELL] * 14)
-    any_count = f"(?s){_CELL}(?:\\t{_CELL})*"
     unquote = lambda x: f"trim(case when starts_with({x}, '\"') then replace({x}[2:-2], '\"\"', '\"') else {x} end, ' ')"
-    first = f"regexp_extract(body, '^(?s:{_CELL})(?:\\t|$)', 1)"
+    first = f"regexp_extract(body, '^((?s:{_CELL}))(?:\\t|$)', 1)"
     return f"""with lines as (select *, regexp_replace(line, '\\r$', '') body from ncbi_raw where line is not null and not regexp_full_match(line, '\\s*')),
-    recs as (select *, regexp_full_match(body, '{any_count}') quoted, regexp_full_match(body, '(?s){cells}') whole from lines
+    recs as (select *, regexp_full_match(body, '(?s){cells}') whole from lines
       where {first} not in ('Assembly Accession', chr(65279) || 'Assembly Accession', '"Assembly Accession"')),
-    parts as (select *, regexp_extract(body, '^(?s:{cells})$', 1) acc_, regexp_extract(body, '^(?s:{cells})$', 12) day_ from recs),
+    parts as (select *, regexp_extract(body, '^(?s:({_CELL})(?:\\t{_CELL}){{13}})$', 1) acc_, regexp_extract(body, '^(?s:(?:{_CELL}\\t){{11}}({_CELL})(?:\\t{_CELL}){{2}})$', 1) day_ from recs),
     clean as (select *, {unquote('acc_')} acc, {unquote('day_')} dy from parts)
     select raw_id from clean where not whole or not regexp_full_match(acc, 'GC[FA]_[0-9]{{9}}\\.[0-9]+') or not (dy = '' or (regexp_full_match(dy, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and dy[1:4] <> '0000' and try_cast(dy as date) is not null))"""
 
