@@ -32,10 +32,19 @@ def legacy_roundtrip(kmer: Column) -> Column:
     return F.translate(encode(kmer).cast("bigint").cast("string"), CODE_DIGITS, CODE_LETTERS)
 
 
+def is_kmer(kmer: Column, k: Column) -> Column:
+    """Whether a k-mer in any spelling (case, digit code, mixed) is exactly k letters of ACGT; null for a null k-mer."""
+    return (F.length(kmer) == k) & kmer.rlike(r"^[ACGTacgt0-3]+\z")
+
+
+def letters(kmer: Column) -> Column:
+    """The upper-case letters of a k-mer in any spelling; other symbols stay."""
+    return F.translate(F.upper(kmer), CODE_DIGITS, CODE_LETTERS)
+
+
 def read_kmer(kmer: Column, k: Column) -> Column:
-    """The upper-case letters of a k-mer in any spelling (case, digit code), or null unless it is exactly k of ACGT."""
-    text = F.translate(F.upper(kmer), CODE_DIGITS, CODE_LETTERS)
-    return F.when((F.length(text) == k) & only_bases(text), text)
+    """The upper-case letters of a k-mer in any spelling, or null unless it is exactly k of ACGT."""
+    return F.when(is_kmer(kmer, k), letters(kmer))
 
 
 def only_bases(text: Column) -> Column:

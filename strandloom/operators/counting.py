@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmer import only_bases
+from ..functions.kmer import is_kmer, letters, only_bases
 
 DEFAULT_KS = (8, 9, 10, 11, 12)
 
@@ -60,7 +60,5 @@ def count_status(contigs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def readable_counts(raw: DataFrame) -> DataFrame:
     """Rows of a loaded count table as (organism_id, k, kmer, cnt): exact duplicates once, readable k-mers, counts above 0, runs summed."""
-    from ..functions.kmer import read_kmer
-
-    rows = raw.where((F.col("count") > 0) & read_kmer(F.col("kmer"), F.col("k")).isNotNull()).dropDuplicates()
-    return rows.groupBy("organism_id", "k", read_kmer(F.col("kmer"), F.col("k")).alias("kmer")).agg(F.sum("count").alias("cnt"))
+    rows = raw.where((F.col("count") > 0) & is_kmer(F.col("kmer"), F.col("k"))).dropDuplicates()
+    return rows.groupBy("organism_id", "k", letters(F.col("kmer")).alias("kmer")).agg(F.sum("count").alias("cnt"))

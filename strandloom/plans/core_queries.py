@@ -33,7 +33,7 @@ def _loaded(spark, d):
 
 def _rows(spark, d):
     """Readable rows of kmer_features with letters."""
-    rows = table(spark, d, "kmer_features").withColumn("kmer", fk.read_kmer(F.col("kmer"), F.col("k"))).where("kmer is not null")
+    rows = table(spark, d, "kmer_features").where(fk.is_kmer(F.col("kmer"), F.col("k"))).withColumn("kmer", fk.letters(F.col("kmer")))
     return rows.select("organism_id", "kmer", "k", "count", "gc_percent")
 
 
