@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.kmer import read_kmer
+from ..functions.kmer import is_kmer, letters
 from ..plans.tables import READ, VALID, table
 from ..session import written
-from . import frequent, percentiles, similar_groups, term_stats
+from . import frequent, leakage, percentiles, similar_groups, term_stats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,22 +30,23 @@ def query(sql: str | None = None):
 _P2 = f"""rows_ as (select k, {READ} kmer, "count" c from (select distinct * from kmer_counts where "count" > 0 and {VALID})), n as (select k, sum(c) n from rows_ group by 1)"""
 
 
-def _readable(spark, d):
-    rows = table(spark, d, "kmer_counts")
-    return rows.where((F.col("count") > 0) & read_kmer(F.col("kmer"), F.col("k")).isNotNull())
+def _counted(spark, d):
+    return table(spark, d, "kmer_counts").where("`count` > 0")
 
 
 def _letters(rows):
-    return rows.withColumn("letters", read_kmer(F.col("kmer"), F.col("k")))
+    return rows.withColumn("letters", letters(F.col("kmer")))
 
 
 def _intervals(spark, d):
-    return frequent.frequent_items(_letters(_readable(spark, d).dropDuplicates()), "k", "letters", "count", "0.005")
+    rows = _counted(spark, d).where(is_kmer(F.col("kmer"), F.col("k"))).dropDuplicates()
+    return frequent.frequent_items(_letters(rows), "k", "letters", "count", "0.005")
 
 
 @query(f"with {_P2} select k, kmer from rows_ join n using (k) group by k, kmer, n having sum(c) * 200 >= n")
 def p2_found(spark, d):
-    found = frequent.exact_frequent(_intervals(spark, d), _letters(_readable(spark, d)), "k", "letters", "count", "0.005")
+    # the second pass need not test the spelling again: only candidates' letters meet it
+    found = frequent.exact_frequent(_intervals(spark, d), _letters(_counted(spark, d)), "k", "letters", "count", "0.005")
     return found.select("k", F.col("letters").alias("kmer"))
 
 
@@ -120,7 +121,7 @@ _P6 = f"""rows_ as (select organism_id, {READ} kmer, "count" c from (select dist
 def _terms(spark, d):
     rows = table(spark, d, "kmer_features")
     organisms = rows.select("organism_id").where("organism_id is not null").distinct().count()
-    rows = rows.where(read_kmer(F.col("kmer"), F.col("k")).isNotNull()).dropDuplicates()
+    rows = rows.where(is_kmer(F.col("kmer"), F.col("k"))).dropDuplicates()
     return term_stats.term_statistics(_letters(rows), "letters", "organism_id", "count", 2, (40, 100), organisms)
 
 
@@ -132,3 +133,20 @@ def p6_found(spark, d):
 @query(f"with {_P6} select kmer, occurrences, records, case when records <= 2 and records * 100 >= n * 40 then 'rare and common' when records <= 2 then 'rare' when records * 100 >= n * 40 then 'common' end mark from t, n")
 def p6_terms(spark, d):
     return _terms(spark, d).select(F.col("term").alias("kmer"), "occurrences", "records", "mark")
+
+
+# --- p8: leaked evaluation texts ------------------------------------------------------------------------------------
+
+
+def _leaks(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query()
+def p8_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query()
+def p8_leaks(spark, d):
+    return _leaks(spark, d)
