@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kmer import is_kmer, letters
 from ..plans.tables import READ, VALID, table
 from ..session import written
-from . import frequent, leakage, percentiles, similar_groups, term_stats
+from . import frequent, leakage, percentiles, similar_groups, term_stats, tokens
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,17 @@ def p8_found(spark, d):
 @query()
 def p8_leaks(spark, d):
     return _leaks(spark, d)
+
+
+# --- p7: token ids --------------------------------------------------------------------------------------------------
+
+
+@query()
+def p7_ids(spark, d):
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+@query("select doc_id, coalesce(text, '') text from documents")
+def p7_text(spark, d):
+    """Encoded and decoded again."""
+    return tokens.decoded(tokens.encoded(table(spark, d, "documents")))
