@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kmer import is_kmer, letters
 from ..plans.tables import READ, VALID, table
 from ..session import written
-from . import frequent, leakage, percentiles, similar_groups, term_stats, tokens
+from . import encoding, frequent, leakage, percentiles, similar_groups, term_stats, tokens
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,20 @@ def p7_ids(spark, d):
 def p7_text(spark, d):
     """Encoded and decoded again."""
     return tokens.decoded(tokens.encoded(table(spark, d, "documents")))
+
+
+# --- p9: wrong character encodings ----------------------------------------------------------------------------------
+
+
+def _garbled(spark, d):
+    return encoding.garbled_texts(table(spark, d, "documents"))
+
+
+@query()
+def p9_found(spark, d):
+    return _garbled(spark, d).select("doc_id")
+
+
+@query()
+def p9_restored(spark, d):
+    return _garbled(spark, d)
