@@ -34,7 +34,7 @@ KINDS = (
 )
 #: Rounds of the learning; the least log probability that makes a bigram suspect; what one word must gain to count; what a
 #: text must gain, after that, by a swap of UTF-8 and by a swap of other code pages; the share of a swap before learning.
-ROUNDS, RARE, GAIN, ENOUGH_UTF8, ENOUGH_OTHER, PRIOR = 3, -6.5, 4.0, 0.0, 12.0, 1e-3
+ROUNDS, RARE, GAIN, ENOUGH_UTF8, ENOUGH_OTHER, PRIOR = 3, -4.0, 4.0, 0.0, 12.0, 1e-3
 _LOST = "�"
 
 
