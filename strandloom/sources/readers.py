@@ -125,7 +125,7 @@ def read_accessions(spark: SparkSession, path: str, column: int | str | None = N
 def read_metadata_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Two flat tables of a metadata file: genomes, and k-mer summaries per organism and k; both empty if it is absent or broken."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         text = spark.createDataFrame([], "value string")
     rows = text.select(F.explode(F.from_json("value", METADATA_SCHEMA)).alias("genome_id", "m"))
