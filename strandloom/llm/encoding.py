@@ -9,6 +9,7 @@ restore them; the shares by which swaps explain them re-weight both the bigrams
 from __future__ import annotations
 
 import html
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -213,14 +214,17 @@ def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, s
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(source, word, n) of the suspicious words of ``docs`` (source, text), counted in each batch before they shuffle."""
+    """(source, word, n) of the suspicious words of ``docs`` (source, text); n is the number of texts, so that no long text outweighs the rest.
+
+    Words are counted in each batch before they shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text.isascii() or "&" in text:
-                    counts.update((source, w) for w in suspicious_words(text))
+                    counts.update((source, w) for w in set(suspicious_words(text)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["source", "word", "n"]
             )
@@ -326,13 +330,35 @@ def _judged(model, doc_kind: str):
     return run
 
 
+def undone(word: str, swap: str) -> str | None:
+    """The word as a many-byte swap restores it, or None."""
+    page, _, written_in = swap.removesuffix(" twice").partition(">")
+    try:
+        if page in _BYTES:
+            data = _BYTES[page][np.minimum(np.frombuffer(word.encode("utf-32-le"), np.uint32), 65535)]
+            raw = None if (data < 0).any() else data.astype(np.uint8).tobytes()
+        else:
+            raw = word.encode(page)
+        text = None if raw is None else _utf8(raw) if written_in == "utf-8" else raw.decode(written_in)
+    except UnicodeError:
+        return None
+    return undone(text, f"{page}>{written_in}") if text is not None and swap.endswith(" twice") else text
+
+
 def _restored(text: str, words: list[str], known: dict, swap: str) -> str:
-    """The text with each word that many-byte swaps explain in its restored form: by the text's swap, else by the best one."""
-    for w in sorted(set(words), key=len, reverse=True):
-        ways = {s: v for s, v in known[w].items() if v[1] is not None}
-        if ways:
-            text = text.replace(w, ways[swap][1] if swap in ways else max(ways.values(), key=lambda v: v[0])[1])
-    return text
+    """The text with its words restored: by the text's swap wherever it can be undone, else by the word's best swap of many bytes."""
+    if swap.split(">")[1] in WRITTEN_IN:
+        return text
+    best: dict[str, str] = {}
+    for w in words:
+        ways = [(gain, s, t) for s, (gain, t) in known[w].items() if t is not None]
+        fixed = undone(w, swap) or (max(ways)[2] if ways else None)
+        if fixed is not None and fixed != w:
+            best[w] = fixed
+    if not best:
+        return text
+    pieces = re.split(r"([ \t\n\r\x0b\x0c]+)", text)
+    return "".join([best.get(p, p) for p in pieces])
 
 
 def garbled_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "declared_charset") -> DataFrame:

@@ -86,6 +86,8 @@ def exact_frequent(candidates: DataFrame, rows: DataFrame, group: str, item: str
     """
     s = Fraction(share)
     few = written(candidates.select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col("total").alias("_t")), "candidates")
-    hits = rows.join(few, (rows[group] == few["_g"]) & (rows[item] == few["_i"]), "inner").dropDuplicates(rows.columns)
-    sums = hits.groupBy(group, item, F.col("_t").alias("total")).agg(F.sum(weight).alias("weight"))
+    hits = rows.join(few, rows[group].eqNullSafe(few["_g"]) & (rows[item] == few["_i"]), "left_semi").dropDuplicates()
+    sums = hits.groupBy(F.col(group).alias("_g"), F.col(item).alias("_i")).agg(F.sum(weight).alias("_w")).alias("s")
+    both = sums.join(few.alias("f"), F.col("s._g").eqNullSafe(F.col("f._g")) & (F.col("s._i") == F.col("f._i")))
+    sums = both.select(F.col("s._g").alias(group), F.col("s._i").alias(item), F.col("f._t").alias("total"), F.col("s._w").alias("weight"))
     return sums.where(F.col("weight") * s.denominator >= F.col("total") * s.numerator)
