@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,18 @@ KINDS = (
     (0x80, 32), (0xA0, 96), (0x100, 600), (0x300, 112), (0x370, 144), (0x400, 300), (0x530, 3000), (0x1E00, 512), (0x2000, 1000), (0x2500, 300),
     (0x2600, 2700), (0x3040, 200), (0x3100, 800), (0x3400, 28000), (0xA000, 3000), (0xAC00, 11200), (0xD800, 12000), (0x10000, 100000),
 )
-#: Rounds of the learning; the least log probability that makes a bigram suspect; what one word must gain to count; what a
-#: text must gain, after that, by a swap of UTF-8 and by a swap of other code pages; the share of a swap before learning.
-ROUNDS, RARE, GAIN, ENOUGH_UTF8, ENOUGH_OTHER, PRIOR = 3, -4.0, 4.0, 0.0, 12.0, 1e-3
+#: Rounds of the learning; the log probability below which a bigram is suspect; the share of a swap before learning.
+ROUNDS, RARE, PRIOR = 3, -4.0, 1e-3
+#: What one word must gain to count for a swap, and what a text must gain beyond that in sum. Few characters happen to be
+#: valid UTF-8 read wrongly, so there any gain tells; one-byte swaps nearly always give some text.
+GAIN_UTF8, GAIN_OTHER, ENOUGH_UTF8, ENOUGH_OTHER = 1.0, 4.0, 0.0, 12.0
 _LOST = "�"
 
 
+def _needs(swap: str) -> float:
+    return GAIN_UTF8 if ">utf-8" in swap else GAIN_OTHER
+
+
 def _bytes_of(page: str) -> np.ndarray:
     """The byte of each code point up to 65535 in a one-byte code page, or -1; bytes without a character are control characters."""
     out = np.full(65536, -1, np.int16)
@@ -172,7 +179,7 @@ def _utf8(data: bytes) -> str | None:
 
 
 def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, str | None]]]:
-    """For each word the swaps that gain more than GAIN in log probability, with the gain and, for many-byte swaps, the restored word."""
+    """For each word the swaps that gain log probability, with the gain and, for many-byte swaps, the restored word."""
     out: list[dict] = [{} for _ in words]
     if not words:
         return out
@@ -195,7 +202,7 @@ def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, s
                 fine = usable & (np.minimum.reduceat(letters[:-1], starts) >= 0)
                 if fine.any():
                     gain = model.scores(np.maximum(letters, 0), starts) - base
-                    for i in np.flatnonzero(fine & (gain > GAIN)):
+                    for i in np.flatnonzero(fine & (gain > 0)):
                         out[rare[i]][f"{page}>{written_in}"] = float(gain[i]), None
     restored = _decodings(few)
     texts, where = [t for _, _, t in restored], [(i, s) for i, s, _ in restored]
@@ -208,7 +215,7 @@ def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, s
         codes, starts = laid_out(texts)
         for (i, swap), text, score in zip(where, texts, model.scores(codes, starts)):
             gain = float(score - base[i])
-            if gain > GAIN and gain > out[rare[i]].get(swap, (0.0,))[0]:
+            if gain > out[rare[i]].get(swap, (0.0,))[0]:
                 out[rare[i]][swap] = gain, text
     return out
 
@@ -258,9 +265,9 @@ def _pair_counts(ids: np.ndarray):
 def _explaining(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = explained(pdf["word"].tolist(), model.value)
+            found = [{s: g for s, (g, _) in f.items() if g > _needs(s)} for f in explained(pdf["word"].tolist(), model.value)]
             yield pd.DataFrame(
-                {"source": pdf["source"], "word": pdf["word"], "n": pdf["n"], "swaps": [[SWAP_ID[s] for s in f] for f in found], "gains": [[g for g, _ in f.values()] for f in found]}
+                {"source": pdf["source"], "word": pdf["word"], "n": pdf["n"], "swaps": [[SWAP_ID[s] for s in f] for f in found], "gains": [list(f.values()) for f in found]}
             )
 
     return run
@@ -299,7 +306,7 @@ def learned(docs: DataFrame, rounds: int = ROUNDS, letters: int = LETTERS) -> tu
     return model, shares.select("source", names.alias("swap"), "share")
 
 
-def _judged(model, doc_kind: str):
+def _judged(model):
     """(doc, swap, gain, lost, words, restored): the texts that a swap explains better, or that hold replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +322,8 @@ def _judged(model, doc_kind: str):
                 gained: Counter = Counter()
                 for w in words:
                     for swap, (gain, _) in known[w].items():
-                        gained[swap] += gain - GAIN
+                        if gain > _needs(swap):
+                            gained[swap] += gain - _needs(swap)
                 swap, gain = max(gained.items(), key=lambda x: (x[1], x[0]), default=(None, 0.0))
                 enough = swap is not None and gain > (ENOUGH_UTF8 if ">utf-8" in swap else ENOUGH_OTHER)
                 lost = any(_LOST in w for w in words)
@@ -331,8 +339,10 @@ def _judged(model, doc_kind: str):
 
 
 def undone(word: str, swap: str) -> str | None:
-    """The word as a many-byte swap restores it, or None."""
+    """The word as the swap restores it, or None."""
     page, _, written_in = swap.removesuffix(" twice").partition(">")
+    if written_in in _LETTERS:
+        return word.translate(_translation(page, written_in))
     try:
         if page in _BYTES:
             data = _BYTES[page][np.minimum(np.frombuffer(word.encode("utf-32-le"), np.uint32), 65535)]
@@ -345,18 +355,29 @@ def undone(word: str, swap: str) -> str | None:
     return undone(text, f"{page}>{written_in}") if text is not None and swap.endswith(" twice") else text
 
 
+@cache
+def _translation(page: str, written_in: str) -> dict[int, int]:
+    """The letter of each wrongly read character."""
+    high = np.flatnonzero(_BYTES[page] > 127)
+    letters = _LETTERS[written_in][_BYTES[page][high]]
+    return {int(c): int(x) for c, x in zip(high, letters) if x >= 0}
+
+
 def _restored(text: str, words: list[str], known: dict, swap: str) -> str:
-    """The text with its words restored: by the text's swap wherever it can be undone, else by the word's best swap of many bytes."""
-    if swap.split(">")[1] in WRITTEN_IN:
-        return text
-    best: dict[str, str] = {}
-    for w in words:
-        ways = [(gain, s, t) for s, (gain, t) in known[w].items() if t is not None]
-        fixed = undone(w, swap) or (max(ways)[2] if ways else None)
-        if fixed is not None and fixed != w:
-            best[w] = fixed
-    if not best:
-        return text
+    """The text with its words restored.
+
+    By the text's swap wherever many bytes can be undone; with one-byte swaps in all words if most that it changes gain,
+    else in those that do. Words that a many-byte swap leaves alone are restored by their own best swap.
+    """
+    wide = swap.split(">")[1] not in _LETTERS
+    best: dict[str, str] = {w: fixed for w in set(words) if (fixed := undone(w, swap)) not in (None, w)}
+    if wide:
+        for w in set(words) - best.keys():
+            ways = [(gain, s) for s, (gain, _) in known[w].items() if gain > _needs(s)]
+            if ways and (fixed := undone(w, max(ways)[1])) is not None:
+                best[w] = fixed
+    elif sum(swap in known[w] for w in best) < 0.8 * len(best):
+        best = {w: fixed for w, fixed in best.items() if swap in known[w]}
     pieces = re.split(r"([ \t\n\r\x0b\x0c]+)", text)
     return "".join([best.get(p, p) for p in pieces])
 
@@ -366,18 +387,13 @@ def garbled_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     ``swap`` names the code pages (read as > written in) that explain the text best, ``gain`` the log probability gained by it over
     all its words, ``lost`` whether it holds replacement characters, ``restored`` the text as its author wrote it, or null where only
-    replacement characters are left. One-byte swaps are undone by translate() over the whole text, many-byte ones word by word.
+    replacement characters are left. Words are restored one by one, those of one-byte swaps by translate() where that makes them likelier.
     Character references are read as characters. Null ids and null texts are left out; empty and plain ASCII texts are never
     cases; repeated rows are judged each by itself.
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
-    model, shares = learned(base.select("source", "text"))
+    model, _ = learned(base.select("source", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = base.select("doc", "text").mapInArrow(_judged(shared, kind), f"doc {kind}, swap string, gain double, lost boolean, restored string")
-    plain = F.col("restored")
-    for swap in sorted({r.swap for r in shares.select("swap").distinct().collect()} & {f"{w}>{r}" for w in READ_AS for r in WRITTEN_IN}):
-        page, written_in = swap.split(">")
-        codes = [(chr(c), chr(_LETTERS[written_in][b])) for c in range(128, 65536) if (b := int(_BYTES[page][c])) > 127 and _LETTERS[written_in][b] >= 0]
-        plain = F.when(F.col("swap") == swap, F.translate("restored", *["".join(x) for x in zip(*codes)])).otherwise(plain)
-    return found.select(F.col("doc").alias(doc_id), "swap", "gain", "lost", plain.alias("restored"))
+    found = base.select("doc", "text").mapInArrow(_judged(shared), f"doc {kind}, swap string, gain double, lost boolean, restored string")
+    return found.withColumnRenamed("doc", doc_id)
