@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -24,12 +25,10 @@ def dictionary(terms: DataFrame, term: str) -> DataFrame:
     numbered = terms.where(F.col(term).isNotNull()).select(F.col(term).alias("term")).distinct().withColumn("_m", F.monotonically_increasing_id())
     numbered = written(numbered, "dictionary")
     part, place = F.shiftright("_m", 33).cast("int"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = dict(numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = {}, 0
-    for p in sorted(sizes):
-        offsets[p], total = total, total + sizes[p]
-    at = F.element_at(F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)]), part) if offsets else F.lit(0)
-    return numbered.select("term", (at + place).cast("bigint").alias("id"))
+    sizes = sorted(numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets = zip([r.p for r in sizes], accumulate([r.n for r in sizes], initial=0))
+    starts = terms.sparkSession.createDataFrame([(p, o) for p, o in offsets], "p int, start bigint")
+    return numbered.join(F.broadcast(starts), part == F.col("p")).select("term", (F.col("start") + place).alias("id"))
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
