@@ -15,6 +15,19 @@ UPPER = ("kmer",)
 WHOLE = ("int", "bigint", "smallint", "tinyint")
 
 
+#: More attributes than this are no columns of a wide table.
+MOST_ATTRIBUTES = 2000
+
+
+def discovered_spec(rows: DataFrame, spec: dict[str, str] = SPEC, attribute: str = "attribute", most: int = MOST_ATTRIBUTES) -> dict[str, str]:
+    """``spec`` and, after it in order of name, the other attributes that occur, as strings; more than ``most`` raise ValueError."""
+    name = F.nullif(F.lower(F.trim(attribute)), F.lit("")).alias("a")
+    found = rows.select(name).where("a is not null").distinct().where(~F.col("a").isin(list(spec))).limit(most + 1).collect()
+    if len(spec) + len(found) > most:
+        raise ValueError(f"more than {most} attributes; keep them as rows")
+    return spec | {r.a: "string" for r in sorted(found)}
+
+
 def typed_text(value: Column, kind: str, upper: bool = False) -> Column:
     """A value in the one spelling of its typed form, or null if it does not fit the type."""
     if kind in WHOLE:

@@ -503,7 +503,15 @@ def p4_found(spark, d):
 
 @query()
 def p4_wide(spark, d):
-    return entities.wide_entities(_cells(spark, d))
+    """All attributes that occur: the known ones typed, others as text."""
+    rows = table(spark, d, "feature_attributes")
+    spec = entities.discovered_spec(rows)
+    return entities.wide_entities(entities.entity_cells(rows, spec), spec)
+
+
+@query()
+def p4_failed_cells(spark, d):
+    return entities.failed_cells(_cells(spark, d))
 
 
 @query(f"with {_TYPED}, one as (select entity_id, attribute, min(t) t from typed group by 1, 2 having count(distinct t) = 1) select e.entity_id, max(case when attribute = 'kmer' then t end) kmer, max(case when attribute = 'k' then t end)::int k, max(case when attribute = 'count' then t end)::bigint \"count\" from (select distinct entity_id from cells) e left join one o on e.entity_id = o.entity_id group by 1")

@@ -1,5 +1,7 @@
 """Attribute-value rows into wide tables."""
 
+import pytest
+
 
 from strandloom.operators import entities
 
@@ -40,3 +42,13 @@ def test_own_attributes_and_clashing_name(spark):
     spec = {"entity_id": "string", "size": "double"}
     c = entities.entity_cells(rows(spark, (1, "entity_id", "a"), (1, "size", "1e3")), spec)
     assert [tuple(r) for r in entities.wide_entities(c, spec).collect()] == [(1, "a", 1000.0)]
+
+
+def test_discovered_attributes(spark):
+    df = rows(spark, (1, " Colour", "red"), (1, "COLOUR", "red"), (2, "k", "3"), (2, None, "x"), (2, " ", "x"))
+    spec = entities.discovered_spec(df)
+    assert list(spec) == [*entities.SPEC, "colour"]
+    wide = {r.entity_id: (r.colour, r.k) for r in entities.wide_entities(entities.entity_cells(df, spec), spec).collect()}
+    assert wide == {1: ("red", None), 2: (None, 3)}
+    with pytest.raises(ValueError):
+        entities.discovered_spec(df, most=5)
