@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VarianceThresholdSelector
@@ -100,23 +102,47 @@ def cluster_organisms(vectors: DataFrame, reduction: str | None = "pca", n_compo
     return method(vectors, n_clusters, features=column)
 
 
+#: Points of one cell that a block holds; a task compares two blocks.
+BLOCK_POINTS = 1000
+
+
 def close_pairs(points: DataFrame, id_col: str, array: str, eps: float, axes: int = 3) -> DataFrame:
     """(a, b) of all points at most ``eps`` apart, a < b, exactly.
 
     Points meet only through grid cells of width ``eps`` on the ``axes`` coordinates of largest variance: one side lies in
-    its own cell, the other is copied to the 3^axes cells around it.
+    its own cell, the other is copied to the 3^axes cells around it. A cell with many points is cut into blocks that are
+    compared two by two, so no task holds more than two blocks, and a point moves once for each block, not for each pair.
     """
-    cells = points.select(F.posexplode(F.col(array).cast("array<double>")).alias("pos", "x"))
-    best = [r.pos for r in cells.groupBy("pos").agg(F.var_pop("x").alias("v")).orderBy(F.col("v").desc(), "pos").limit(axes).collect()]
-    base = points.select(F.col(id_col).alias("id"), F.col(array).cast("array<double>").alias("x"))
-    cell = [F.floor(F.col("x")[p] / F.lit(float(eps))) for p in best]
-    left = base.select(F.col("id").alias("a"), F.col("x").alias("xa"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    right = base.select(F.col("id").alias("b"), F.col("x").alias("xb"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    for i in range(len(best)):
-        right = right.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + d for d in (-1, 0, 1)])))
-    square = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    met = left.join(right, [f"c{i}" for i in range(len(best))]) if best else left.join(right, F.lit(False))
-    return met.where((F.col("a") < F.col("b")) & (F.sqrt(square) <= eps)).select("a", "b")
+    base = points.where(F.col(array).isNotNull()).select(F.col(id_col).alias("id"), F.col(array).cast("array<double>").alias("x"))
+    spread = base.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("v"))
+    best = [r.pos for r in spread.orderBy(F.col("v").desc(), "pos").limit(axes).collect()]
+    kind = dict(base.dtypes)["id"]
+    if not best:
+        return points.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    keys = [f"c{i}" for i in range(len(best))]
+    placed = base.select("id", "x", *[F.floor(F.get("x", F.lit(p)) / F.lit(float(eps))).alias(c) for p, c in zip(best, keys)])
+    around = placed
+    for c in keys:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    blocks = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))
+    all_blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    left = placed.join(blocks, keys).withColumn("l", own).withColumn("r", all_blocks).drop("blocks")
+    right = around.join(blocks, keys).withColumn("r", own).withColumn("l", all_blocks).drop("blocks")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # names of its own: the two sides share their lineage
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": a["id"][:0], "b": a["id"][:0]})
+        x, y = np.stack(a["x"]), np.stack(b["x_"])
+        rough = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
+        i, j = np.nonzero(rough <= eps * eps * (1 + 1e-6) + 1e-9)
+        u, v = a["id"].to_numpy()[i], b["id_"].to_numpy()[j]
+        keep = (u < v) & (np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps)
+        return pd.DataFrame({"a": u[keep], "b": v[keep]})
+
+    group = [*keys, "l", "r"]
+    return left.groupBy(*group).cogroup(right.groupBy(*[f"{c}_" for c in group])).applyInPandas(near, f"a {kind}, b {kind}")
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table scan that has fewer splits than there are cores, dealt out over the cores; others stay where they lie.
+
+    For work that far exceeds the moving of its rows (text, windows) on tables that are one small file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _letters(prefix: str, key: str):
     return F.translate(F.md5(F.concat(F.lit(prefix), F.col(key).cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGN")
 
@@ -18,7 +27,8 @@ def contigs(spark: SparkSession, sf_dir: str, name: str = "customer") -> DataFra
     """(organism_id, contig_id, seq): a text of 4 to 128 symbols per row of ``customer`` or ``orders``, from hashes of its key."""
     key, organism = {"customer": ("c_custkey", F.col("c_nationkey")), "orders": ("o_orderkey", F.col("o_custkey") % 25)}[name]
     seq = F.substring(F.concat(*[_letters(p, key) for p in "abcd"]), F.lit(1), (F.lit(4) + F.col(key) % 125).cast("int"))
-    return table(spark, sf_dir, name).select(F.concat(F.lit("ORG_"), organism).alias("organism_id"), F.col(key).alias("contig_id"), seq.alias("seq"))
+    rows = spread(table(spark, sf_dir, name).select(key, "c_nationkey" if name == "customer" else "o_custkey"))
+    return rows.select(F.concat(F.lit("ORG_"), organism).alias("organism_id"), F.col(key).alias("contig_id"), seq.alias("seq"))
 
 
 def _sql_letters(prefix: str, key: str) -> str:
