@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.kmer import is_kmer, letters
-from ..plans.tables import READ, VALID, table
+from ..plans.tables import READ, VALID, spread, table
 from ..session import written
 from . import encoding, frequent, leakage, percentiles, similar_groups, term_stats, tokens
 
@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "declared_charset"))
+
+
 # --- p2: most frequent items ----------------------------------------------------------------------------------------
 
 _P2 = f"""rows_ as (select k, {READ} kmer, "count" c from (select distinct * from kmer_counts where "count" > 0 and {VALID})), n as (select k, sum(c) n from rows_ group by 1)"""
@@ -139,7 +143,7 @@ def p6_terms(spark, d):
 
 
 def _leaks(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_items(_texts(spark, d), table(spark, d, "eval_items"))
 
 
 @query()
@@ -157,20 +161,20 @@ def p8_leaks(spark, d):
 
 @query()
 def p7_ids(spark, d):
-    return tokens.encoded(table(spark, d, "documents"))
+    return tokens.encoded(_texts(spark, d))
 
 
 @query("select doc_id, coalesce(text, '') text from documents")
 def p7_text(spark, d):
     """Encoded and decoded again."""
-    return tokens.decoded(tokens.encoded(table(spark, d, "documents")))
+    return tokens.decoded(tokens.encoded(_texts(spark, d)))
 
 
 # --- p9: wrong character encodings ----------------------------------------------------------------------------------
 
 
 def _garbled(spark, d):
-    return encoding.garbled_texts(table(spark, d, "documents"))
+    return encoding.garbled_texts(_texts(spark, d))
 
 
 @query()
