@@ -179,19 +179,22 @@ def _utf8(data: bytes) -> str | None:
 
 
 def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, str | None]]]:
-    """For each word the swaps that gain log probability, with the gain and, for many-byte swaps, the restored word."""
+    """For each word the swaps that gain log probability, with the gain and, for many-byte swaps, the restored word.
+
+    One-byte swaps are tried on words with a rare bigram; words whose characters read as bytes are many-byte text always count,
+    as copies of a garbled text may have made their bigrams common.
+    """
     out: list[dict] = [{} for _ in words]
     if not words:
         return out
     codes, starts = laid_out(words)
+    base_all = model.scores(codes, starts)
+    restored = _decodings(words)
     rare = np.flatnonzero(model.scores(codes, starts, lowest=True) < RARE)
-    if not len(rare):
-        return out
-    few = [words[i] for i in rare]
-    codes, starts = laid_out(few)
-    base = model.scores(codes, starts)
+    codes, starts = laid_out([words[i] for i in rare])
+    base = base_all[rare]
     plain = np.minimum(codes, 65535)
-    for page in READ_AS:
+    for page in READ_AS if len(rare) else ():
         data = _BYTES[page][plain]
         usable = np.minimum.reduceat(data[:-1], starts) >= 0
         if not usable.any():
@@ -204,7 +207,6 @@ def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, s
                     gain = model.scores(np.maximum(letters, 0), starts) - base
                     for i in np.flatnonzero(fine & (gain > 0)):
                         out[rare[i]][f"{page}>{written_in}"] = float(gain[i]), None
-    restored = _decodings(few)
     texts, where = [t for _, _, t in restored], [(i, s) for i, s, _ in restored]
     if texts:
         for j, swap, text in _decodings(texts):
@@ -214,14 +216,23 @@ def explained(words: list[str], model: Bigrams) -> list[dict[str, tuple[float, s
                 where.append((i, f"{first} twice"))
         codes, starts = laid_out(texts)
         for (i, swap), text, score in zip(where, texts, model.scores(codes, starts)):
-            gain = float(score - base[i])
-            if gain > out[rare[i]].get(swap, (0.0,))[0]:
-                out[rare[i]][swap] = gain, text
+            gain = float(score - base_all[i])
+            if gain > out[i].get(swap, (0.0,))[0]:
+                out[i][swap] = gain, text
     return out
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(source, text): each text that may hold suspicious words once, however often and in whatever sources it is copied.
+
+    Copies, told by a hash, are reduced before they shuffle; a text of several sources stays with the smallest one.
+    """
+    some = docs.where(F.col("text").rlike(r"[^\x00-\x7F]|&"))
+    return some.groupBy(F.xxhash64("text").alias("h")).agg(F.min("source").alias("source"), F.first("text").alias("text")).select("source", "text")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(source, word, n) of the suspicious words of ``docs`` (source, text); n is the number of texts, so that no long text outweighs the rest.
+    """(source, word, n) of the suspicious words of ``docs`` (source, text); n is the number of distinct texts, so that neither a long text nor a copied one outweighs the rest.
 
     Words are counted in each batch before they shuffle.
     """
@@ -236,7 +247,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["source", "word", "n"]
             )
 
-    found = docs.select("source", "text").mapInArrow(run, "source string, word string, n bigint")
+    found = distinct_texts(docs).mapInArrow(run, "source string, word string, n bigint")
     return found.groupBy("source", "word").agg(F.sum("n").alias("n"))
 
 

@@ -59,6 +59,15 @@ def test_defined_cases(spark):
     assert encoding.garbled_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("notice, read_as", [("Accès refusé", "cp1252"), ("нет такого материала", "latin-1")])
+def test_garbled_notice_as_a_third_of_all_texts(spark, notice, read_as):
+    garbled = notice.encode().decode(read_as)
+    rows = [(i, t, "s") for i, _, t in corpus(200)] + [(1000 + i, garbled, "s") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, declared_charset string")
+    got = {r.doc_id: r.restored for r in encoding.garbled_texts(df).collect()}
+    assert got == dict.fromkeys(range(1000, 1100), notice)
+
+
 def test_very_long_text(spark):
     clean = [(i, t, None) for i, _, t in corpus(60)]
     word = "été".encode().decode("cp1252")
