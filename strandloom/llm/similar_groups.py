@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ml import smallest_reachable
 from ..session import written
 
 #: Vectors that are iterated together; steps between checks; the change at which the iteration ends.
@@ -102,14 +103,30 @@ def embedding_kmeans(embedding: DataFrame, width: float = 1e-6, rounds: int = 2)
     return assigned.join(smallest, "centre").select("record", "group")
 
 
+def joined_groups(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(record, group) with the groups that an affinity links joined, however slowly the iteration mixed them.
+
+    The links are reduced to pairs of groups first. ``group`` stays the smallest record of the group.
+    """
+    of = members.select("record", "group")
+    links = edges.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").where("ga <> gb").select("ga", "gb")
+    links = written(links.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct(), "group_links")
+    if links.isEmpty():
+        return members
+    roots = smallest_reachable(links.select(F.explode(F.array("a", "b")).alias("id")), links)
+    joined = members.join(roots.select(F.col("id").alias("group"), "root"), "group", "left")
+    return joined.select("record", F.coalesce("root", "group").alias("group"))
+
+
 def similar_groups(profiles: DataFrame, radius: float = 0.10) -> tuple[DataFrame, DataFrame]:
     """(record, group, size, rank, internal_affinity) of every profile, and the affinities (a, b, weight) they come from.
 
-    rank 1 is the group's most typical member: the one of largest summed affinity to its group, ties to the smaller name.
+    Groups that an affinity links are one, so no pair within ``radius`` is parted. rank 1 is the group's most typical member: the one of largest summed affinity to its group, ties to the smaller name.
     """
     profiles = written(profiles, "profiles")
     edges = written(affinities(profiles, radius), "affinities")
     members = written(embedding_kmeans(power_embedding(profiles.select("record"), edges)), "members")
+    members = written(joined_groups(members, edges), "joined")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     inside = both.join(members.toDF("a", "ga"), "a").join(members.toDF("b", "gb"), "b").where("ga = gb").groupBy(F.col("a").alias("record")).agg(F.sum("weight").alias("inner"))
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))

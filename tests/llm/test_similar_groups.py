@@ -44,3 +44,27 @@ def test_equal_profiles_null_rows_and_empty(spark):
     assert [tuple(r) for r in edges.collect()] == [("a", "b", 1.0)]
     members, edges = sg.similar_groups(sg.share_profiles(df.limit(0), "o", "gc", "c"))
     assert members.count() == edges.count() == 0
+
+
+def bridged(gap, size=40, seed=0):
+    """Two tight groups whose centres are ``gap`` apart, so that only a few pairs between them are within the radius."""
+    rng = np.random.default_rng(seed)
+    base = np.full(8, 1 / 8)
+    rows = []
+    for g in range(2):
+        centre = base + g * gap / 2 * np.array([1, -1, 0, 0, 0, 0, 0, 0])
+        for i in range(size):
+            share = np.maximum(centre + rng.normal(0, 0.002, 8), 0)
+            rows += [(f"g{g}_{i:02d}", float(f * 10), int(s * 100_000)) for f, s in enumerate(share / share.sum())]
+    return pd.DataFrame(rows, columns=["o", "gc", "c"])
+
+
+def test_bridged_groups_lose_no_pair(spark):
+    rows = bridged(0.094)
+    true = brute(rows)
+    between = sum(a[:2] != b[:2] for a, b in true)
+    assert 0 < between < 400
+    members, edges = sg.similar_groups(sg.share_profiles(spark.createDataFrame(rows), "o", "gc", "c"))
+    got = members.toPandas()
+    assert {tuple(r) for r in sg.similar_pairs(members, edges).collect()} == true
+    assert set(got.group) == {"g0_00"} and set(got["size"]) == {80} and sorted(got["rank"]) == list(range(1, 81))
