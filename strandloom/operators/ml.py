@@ -6,7 +6,9 @@ column and a vector column; labels are an integer column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -106,59 +108,85 @@ def cluster_organisms(vectors: DataFrame, reduction: str | None = "pca", n_compo
 BLOCK_POINTS = 1000
 
 
+def paired_blocks(placed: DataFrame, keys: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block: int = BLOCK_POINTS) -> DataFrame:
+    """The rows of ``compare(left, right, same)`` over all pairs of points in the same or in neighbouring cells, each pair met once.
+
+    ``placed`` has a unique ``id``, a payload, and the integer cell coordinates ``keys``. One side lies in its own cell, the other is
+    copied to those of the 3^n neighbours that come before its own cell; so two points of different cells meet once, and points of
+    one cell (``same``) in both orders. A cell with many points is cut into blocks that are compared two by two: no task
+    holds more than two blocks, and a point moves once for each block, not for each pair.
+    """
+    blocks = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks"))
+    left = placed.join(blocks, keys).withColumn("_l", own).withColumn("_r", every).drop("_blocks")
+    left = left.withColumn("_same", F.explode(F.array(F.lit(True), F.lit(False))))
+    offsets = [o for o in product((-1, 0, 1), repeat=len(keys)) if o <= (0,) * len(keys)]
+    moved = F.explode(F.array(*[F.struct(F.lit(not any(o)).alias("same"), *[(F.col(k) + d).alias(k) for k, d in zip(keys, o)]) for o in offsets]))
+    around = placed.withColumn("_to", moved).drop(*keys).select("*", F.col("_to.same").alias("_same"), *[F.col(f"_to.{k}").alias(k) for k in keys]).drop("_to")
+    right = around.join(blocks, keys).withColumn("_r", own).withColumn("_l", every).drop("_blocks")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # names of its own: the two sides share their lineage
+    none = pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return none if a.empty or b.empty else compare(a, b.rename(columns=lambda c: c.removesuffix("_")), bool(a["_same"].iloc[0]))
+
+    group = [*keys, "_same", "_l", "_r"]
+    return left.groupBy(*group).cogroup(right.groupBy(*[f"{c}_" for c in group])).applyInPandas(meet, schema)
+
+
 def close_pairs(points: DataFrame, id_col: str, array: str, eps: float, axes: int = 3) -> DataFrame:
-    """(a, b) of all points at most ``eps`` apart, a < b, exactly.
+    """(a, b) of all points at most ``eps`` apart (Euclidean, in doubles), a < b.
 
-    Points meet only through grid cells of width ``eps`` on the ``axes`` coordinates of largest variance: one side lies in
-    its own cell, the other is copied to the 3^axes cells around it. A cell with many points is cut into blocks that are
-    compared two by two, so no task holds more than two blocks, and a point moves once for each block, not for each pair.
+    Points meet only through grid cells of width ``eps`` on the ``axes`` coordinates of largest variance (see paired_blocks).
+    Within a pair of blocks a product of matrices about the blocks' centre, with the bound of its rounding error as slack, leaves the
+    pairs whose distance is then computed; so large coordinates lose no pair. Ids are unique; null ids and null arrays are left out; all
+    arrays have one length; a pair with a null or NaN coordinate is not close.
     """
-    base = points.where(F.col(array).isNotNull()).select(F.col(id_col).alias("id"), F.col(array).cast("array<double>").alias("x"))
-    spread = base.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("v"))
-    best = [r.pos for r in spread.orderBy(F.col("v").desc(), "pos").limit(axes).collect()]
+    base = points.where(F.col(array).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(array).cast("array<double>").alias("x"))
+    by_axis = base.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("v"), F.max(F.abs("v")).alias("top"))
+    best = by_axis.orderBy(F.col("v").desc_nulls_last(), "pos").limit(axes).collect()
     kind = dict(base.dtypes)["id"]
     if not best:
         return points.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     keys = [f"c{i}" for i in range(len(best))]
-    placed = base.select("id", "x", *[F.floor(F.get("x", F.lit(p)) / F.lit(float(eps))).alias(c) for p, c in zip(best, keys)])
-    around = placed
-    for c in keys:
-        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
-    blocks = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))
-    all_blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    left = placed.join(blocks, keys).withColumn("l", own).withColumn("r", all_blocks).drop("blocks")
-    right = around.join(blocks, keys).withColumn("r", own).withColumn("l", all_blocks).drop("blocks")
-    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # names of its own: the two sides share their lineage
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": a["id"][:0], "b": a["id"][:0]})
-        x, y = np.stack(a["x"]), np.stack(b["x_"])
-        rough = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
-        i, j = np.nonzero(rough <= eps * eps * (1 + 1e-6) + 1e-9)
-        u, v = a["id"].to_numpy()[i], b["id_"].to_numpy()[j]
-        keep = (u < v) & (np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps)
-        return pd.DataFrame({"a": u[keep], "b": v[keep]})
-
-    group = [*keys, "l", "r"]
-    return left.groupBy(*group).cogroup(right.groupBy(*[f"{c}_" for c in group])).applyInPandas(near, f"a {kind}, b {kind}")
+    # a little wider than eps, as the quotient is rounded
+    width = [eps * (1 + 1e-9) + 8 * float(np.finfo(float).eps) * (r.top if r.top is not None and np.isfinite(r.top) else 0.0) for r in best]
+    placed = base.select("id", "x", *[F.floor(F.coalesce(F.get("x", F.lit(r.pos)), F.lit(0.0)) / F.lit(w)).alias(c) for r, w, c in zip(best, width, keys)])
+
+    def near(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y = np.stack(a["x"]).astype(float), np.stack(b["x"]).astype(float)
+        centre = x.mean(axis=0)
+        u, v = x - centre, y - centre
+        squares = (u * u).sum(1)[:, None] + (v * v).sum(1)
+        slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (squares + eps * eps)
+        i, j = np.nonzero(squares - 2 * (u @ v.T) <= eps * eps + slack)
+        p, q = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        keep = np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps
+        if same:
+            keep &= p < q
+        p, q = p[keep], q[keep]
+        return pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p)})
+
+    return paired_blocks(placed, keys, near, f"a {kind}, b {kind}")
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id of each node's connected component.
 
     Min-label rounds with pointer jumping; each round is written to the shared folder, so lineage stays short. Edges are
-    (a, b), taken in both directions.
+    (a, b), taken in both directions. A path of n nodes takes about log(n) rounds; if labels still change after ``max_rounds``
+    it raises and returns nothing.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     state = written(nodes.select(F.col("id"), F.col("id").alias("root")).distinct(), "roots")
     for _ in range(max_rounds):
         near = both.join(state.toDF("b", "r"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("near"))
         step = state.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        step = step.join(jump, "root", "left").select("id", "old", F.coalesce("up", "root").alias("root"))
-        step = written(step, "roots")
+        step = written(step, "steps")
+        # the roots in use are few and reduced first, so that a component of most nodes is no hot key of the look-up
+        up = step.select("root").distinct().join(step.select(F.col("id").alias("root"), F.col("root").alias("up")), "root")
+        step = written(step.join(up, "root", "left").select("id", "old", F.coalesce("up", "root").alias("root")), "roots")
         state = step.select("id", "root")
         if step.where("old <> root").limit(1).count() == 0:
             return state
@@ -171,7 +199,7 @@ def dbscan(points: DataFrame, id_col: str, array: str, eps: float = 0.5, min_sam
     Clusters are the components of core points within ``eps``, named by their smallest id; a border point joins the
     smallest such cluster next to it.
     """
-    ids = points.select(F.col(id_col).alias("id"))
+    ids = points.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     pairs = written(close_pairs(points, id_col, array, eps), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
