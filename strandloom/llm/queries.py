@@ -74,13 +74,12 @@ def _profiles(spark, d):
     " select a.o organism_a, b.o organism_b from v a join v b on a.o < b.o where list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) <= 0.10"
 )
 def p3_found(spark, d):
-    members, edges = similar_groups.similar_groups(_profiles(spark, d))
-    return similar_groups.similar_pairs(members, edges).toDF("organism_a", "organism_b")
+    return similar_groups.similar_pairs(*similar_groups.similar_groups(_profiles(spark, d))).toDF("organism_a", "organism_b")
 
 
 @query()
 def p3_groups(spark, d):
-    members, _ = similar_groups.similar_groups(_profiles(spark, d))
+    members, _, _ = similar_groups.similar_groups(_profiles(spark, d))
     return members.withColumnRenamed("record", "organism_id")
 
 
