@@ -16,17 +16,20 @@ SUMMARY = "part_group string, item string, seen bigint, missed bigint, floor big
 
 
 def _summaries(error: float):
+    num, den = Fraction(error).limit_denominator(10**9).as_integer_ratio()  # whole numbers stay exact above 2^53
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}  # group -> (items, seen, missed), sorted by item
         totals: dict = {}
         for pdf in batches:
             for group, rows in pdf.groupby("part_group", sort=False, dropna=False):
                 codes, items = pd.factorize(rows["item"].to_numpy(), sort=True)
-                seen = np.bincount(codes, rows["weight"].to_numpy(np.float64)).astype(np.int64)
+                seen = np.zeros(len(items), np.int64)
+                np.add.at(seen, codes, rows["weight"].to_numpy(np.int64))
                 group = None if group is None or group != group else group
                 before = totals.get(group, 0)
                 totals[group] = after = before + int(seen.sum())
-                missed = np.full(len(items), int(error * before), np.int64)  # what a new item may have lost to earlier pruning
+                missed = np.full(len(items), before * num // den, np.int64)  # what a new item may have lost to earlier pruning
                 if group in kept:
                     old, old_seen, old_missed = kept[group]
                     at = np.searchsorted(old, items)
@@ -36,10 +39,10 @@ def _summaries(error: float):
                     seen, missed = np.concatenate([old_seen, seen[~hit]]), np.concatenate([old_missed, missed[~hit]])
                     order = np.argsort(items, kind="stable")
                     items, seen, missed = items[order], seen[order], missed[order]
-                keep = seen + missed > int(error * after)  # the bucket ends with the batch
+                keep = seen + missed > after * num // den  # the bucket ends with the batch
                 kept[group] = items[keep], seen[keep], missed[keep]
         for group, (items, seen, missed) in kept.items():
-            floor = int(error * totals[group])
+            floor = totals[group] * num // den
             yield pd.DataFrame({"part_group": group, "item": items, "seen": seen, "missed": missed, "floor": floor, "total": 0})
             yield pd.DataFrame({"part_group": [group], "item": [None], "seen": [0], "missed": [0], "floor": [floor], "total": [totals[group]]})
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Words in a shingle; words in a row that make a passage; items that one pass over the corpus holds in memory.
-SHINGLE, PASSAGE, ITEM_BLOCK = 5, 12, 20_000
+#: Words in a shingle; words in a row that make a passage; bits of the sieve, 8 MB however many items there are.
+SHINGLE, PASSAGE, SIEVE_BITS = 5, 12, 26
 _WORD = re.compile(r"[^\W_]+")
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)], np.uint64)
 
@@ -60,20 +60,28 @@ def _item_rows(id_col: str, text_col: str):
     return run
 
 
-def _regions(id_col: str, text_col: str, known: Broadcast, need: int):
-    """Stretches of a text in which at least ``need`` shingles in a row are known: a shorter one holds no passage."""
+def sieve_of(hashed: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """2^bits bits, of which those named by the leading bits of the hashes (s) are set; at most 2^(bits - 6) words reach the driver."""
+    place = F.shiftrightunsigned("s", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    words_ = hashed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("m")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words_["w"].to_numpy(np.int64)] = words_["m"].to_numpy(np.int64)
+    return out
+
+
+def _regions(id_col: str, text_col: str, known: Broadcast, need: int, bits: int):
+    """Stretches of a text in which at least ``need`` shingles in a row pass the sieve: a shorter one holds no passage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, wanted = WordHashes(), known.value
-        sieve = np.zeros(1 << 20, bool)  # most shingles stop here
-        sieve[wanted.view(np.uint64) >> np.uint64(44)] = True
+        hashes, sieve = WordHashes(), known.value
         for pdf in batches:
             out = []
             for doc, text in zip(pdf[id_col], pdf[text_col]):
                 found = words(text)
                 h = shingles(found, hashes)
-                at = np.flatnonzero(sieve[h.view(np.uint64) >> np.uint64(44)])
-                at = at[np.searchsorted(wanted, h[at], side="right") > np.searchsorted(wanted, h[at])]
+                place = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero((sieve[place >> 6] >> (place & 63)) & 1)
                 if len(at) >= need:
                     for run_ in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
                         if len(run_) >= need:
@@ -92,16 +100,30 @@ def _longest_match(doc, item):
     return F.aggregate(F.zip_with(doc, item, lambda p, q: F.coalesce(p == q, F.lit(False))), zero, step, lambda s: s.best)
 
 
-def _leaks_of(docs: DataFrame, items: DataFrame, passage: int) -> DataFrame:
-    need = passage - SHINGLE + 1
-    spark = docs.sparkSession
-    of_items = items.select(F.posexplode("shingles").alias("at", "s"), "item")
-    known = np.sort(np.array([r.s for r in of_items.select("s").distinct().collect()], np.int64))
-    if not len(known):
-        return spark.createDataFrame([], f"doc {dict(docs.dtypes)['doc']}, item {dict(items.dtypes)['item']}, words int")
-    kind = dict(docs.dtypes)["doc"]
-    find = _regions("doc", "text", spark.sparkContext.broadcast(known), need)
-    regions = written(docs.mapInPandas(find, f"doc {kind}, start bigint, words array<string>, shingles array<bigint>"), "regions")
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, bits: int = SIEVE_BITS) -> DataFrame:
+    """(doc_id, item_id, words): each document with each item of which it holds ``passage`` words in a row; words is the longest such run.
+
+    Words are runs of letters and digits without case and accents. A passage of p words holds p - SHINGLE + 1 shingles in a
+    row, so only stretches of that many shingles that pass a sieve of the items' shingles leave the scan of the corpus. The
+    sieve has a fixed size, so the corpus is read once however many and however long the items are; a fuller sieve lets more
+    stretches through. Their shingles meet those of the items in a join and are counted; of the shingles that a passage needs,
+    its rarest is its prefix and the only one to be joined. The item's words are then laid over the stretch at the place of
+    the prefix, cut to the length both have, and compared word by word, so neither hashes nor the sieve decide anything.
+
+    Null ids and null texts are left out; empty texts and items of fewer than ``passage`` words match nothing; repeated rows
+    of a document or an item give one row.
+    """
+    if passage < SHINGLE:
+        raise ValueError(f"a passage has at least {SHINGLE} words")
+    base = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    given = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
+    need, kind, item_kind = passage - SHINGLE + 1, dict(base.dtypes)["doc"], dict(given.dtypes)["item"]
+    split = given.mapInPandas(_item_rows("item", "text"), f"item {item_kind}, words array<string>, shingles array<bigint>")
+    split = written(split.where(F.size("words") >= passage), "items")
+    of_items = split.select(F.posexplode("shingles").alias("at", "s"), "item")
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(of_items.select("s"), bits))
+    regions = base.mapInPandas(_regions("doc", "text", sieve, need, bits), f"doc {kind}, start bigint, words array<string>, shingles array<bigint>")
+    regions = written(regions, "regions")
     # rarity over the corpus; then, of the shingles that a passage must all hold, the rarest is its prefix
     hits = regions.select("doc", "start", F.posexplode("shingles").alias("pos", "s"))
     rarity = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
@@ -111,39 +133,11 @@ def _leaks_of(docs: DataFrame, items: DataFrame, passage: int) -> DataFrame:
     prefixes = ranked.select("item", F.col("p.s").alias("s"), F.col("p.at").alias("at")).distinct()
     # a pair meets in a prefix at one alignment; the item's words lie over the region, as far as both reach
     met = hits.join(prefixes, "s").select("doc", "start", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    met = met.join(regions.select("doc", "start", F.col("words").alias("dw")), ["doc", "start"]).join(items.select("item", F.col("words").alias("iw")), "item")
+    met = met.join(regions.select("doc", "start", F.col("words").alias("dw")), ["doc", "start"]).join(split.select("item", F.col("words").alias("iw")), "item")
     first = F.greatest("shift", F.lit(0))
     length = F.least(F.size("dw") - first, F.size("iw") - (first - F.col("shift")))
     laid = met.where(length >= passage).select(
         "doc", "item", F.slice("dw", first + 1, length).alias("dw"), F.slice("iw", first - F.col("shift") + 1, length).alias("iw")
     )
-    return laid.select("doc", "item", _longest_match(F.col("dw"), F.col("iw")).alias("words")).where(F.col("words") >= passage)
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, block: int = ITEM_BLOCK) -> DataFrame:
-    """(doc_id, item_id, words): each document with each item of which it holds ``passage`` words in a row; words is the longest such run.
-
-    Words are runs of letters and digits without case and accents. A passage of p words holds p - SHINGLE + 1 shingles in a
-    row, so only stretches of that many known shingles leave the scan of the corpus. Their shingles are counted; of the
-    shingles that a passage needs, its rarest is its prefix and the only one to be joined. The item's words are then laid
-    over the stretch at the place of the prefix, cut to the length both have, and compared word by word, so hashes decide
-    nothing. The shingles of one block of at most ``block`` items are broadcast; more items take more passes.
-
-    Null ids and null texts are left out; empty texts and items of fewer than ``passage`` words match nothing; repeated rows
-    of a document or an item give one row.
-    """
-    if passage < SHINGLE:
-        raise ValueError(f"a passage has at least {SHINGLE} words")
-    base = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    given = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
-    kind = dict(given.dtypes)["item"]
-    split = given.mapInPandas(_item_rows("item", "text"), f"item {kind}, words array<string>, shingles array<bigint>")
-    split = written(split.where(F.size("words") >= passage), "items")
-    blocks = max(1, -(-split.count() // block))
-    part = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    found = [_leaks_of(base, split if blocks == 1 else split.where(part == i), passage) for i in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = out.groupBy("doc", "item").agg(F.max("words").alias("words"))
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "words")
+    found = laid.select("doc", "item", _longest_match(F.col("dw"), F.col("iw")).alias("words")).where(F.col("words") >= passage)
+    return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("words").alias("words"))

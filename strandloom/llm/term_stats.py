@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Identifiers in a count array; pieces that the rows of one block are spread over.
-BLOCK, PIECES = 4096, 4
+#: Identifiers in a count array; records whose rows of one block are meant for one piece.
+BLOCK, PIECE_RECORDS = 4096, 10_000
 
 
 def dictionary(terms: DataFrame, term: str) -> DataFrame:
@@ -49,17 +49,21 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _emptied(open_: dict[int, np.ndarray]) -> pd.DataFrame:
-    out = pd.DataFrame({"block": list(open_), "occurrences": [a[0] for a in open_.values()], "records": [a[1] for a in open_.values()]})
+    """The blocks as rows that hold their used places only, so a block that many tasks share costs each what it counted."""
+    used = {b: np.flatnonzero(a.any(axis=0)) for b, a in open_.items()}
+    out = pd.DataFrame({"block": list(open_), "places": list(used.values()), "occurrences": [open_[b][0][at] for b, at in used.items()], "records": [open_[b][1][at] for b, at in used.items()]})
     open_.clear()
     return out
 
 
 def _summed(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((2, BLOCK), np.int64)
+    total, seen = np.zeros((2, BLOCK), np.int64), np.zeros(BLOCK, bool)
     for pdf in pdfs:
-        for o, r in zip(pdf["occurrences"], pdf["records"]):
-            total += np.stack([o, r])
-    ids = np.flatnonzero(total.any(axis=0))
+        for at, o, r in zip(pdf["places"], pdf["occurrences"], pdf["records"]):
+            total[0][at] += o
+            total[1][at] += r
+            seen[at] = True
+    ids = np.flatnonzero(seen)
     yield pd.DataFrame({"id": key[0] * BLOCK + ids, "occurrences": total[0][ids], "records": total[1][ids]})
 
 
@@ -72,7 +76,7 @@ def term_statistics(rows: DataFrame, term: str, record: str, weight: str | None
     else null. Null terms are left out; an empty text is a term.
 
     Rows are reduced to one per term and record before anything else moves, so a hot term or record is no hot group.
-    Encoded rows move by identifier range, a range's rows in PIECES pieces; each task adds the blocks of its ranges in arrays,
+    Encoded rows move by identifier range, a range's rows in pieces by their record, one for each PIECE_RECORDS records; each task adds the blocks of its ranges in arrays,
     and the arrays of a block are summed.
     """
     base = rows.select(F.col(term).alias("term"), F.col(record).alias("record"), (F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))).cast("bigint").alias("weight"))
@@ -81,10 +85,10 @@ def term_statistics(rows: DataFrame, term: str, record: str, weight: str | None
     pairs = base.where("term is not null").groupBy("term", "record").agg(F.sum("weight").alias("weight"))
     pairs = written(pairs, "pairs")
     words = dictionary(pairs, "term")
-    piece = F.pmod(F.xxhash64("record"), F.lit(PIECES))
+    piece = F.pmod(F.xxhash64("record"), F.lit(-(-max(1, records) // PIECE_RECORDS)))
     encoded = pairs.join(words, "term").select("id", "weight", F.col("record").isNotNull().cast("bigint").alias("present"), piece.alias("piece"))
     ranges = encoded.repartition(F.floor(F.col("id") / BLOCK), "piece").drop("piece")
-    blocks = ranges.mapInPandas(_blocks, "block bigint, occurrences array<bigint>, records array<bigint>")
+    blocks = ranges.mapInPandas(_blocks, "block bigint, places array<bigint>, occurrences array<bigint>, records array<bigint>")
     counts = blocks.groupBy("block").applyInPandas(_summed, "id bigint, occurrences bigint, records bigint")
     rare = F.coalesce("records", F.lit(0)) <= few
     often = F.coalesce("records", F.lit(0)) * common[1] >= F.lit(records) * common[0]

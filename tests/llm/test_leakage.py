@@ -42,10 +42,11 @@ def frames(spark, docs, items):
     return spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
 
 
-@pytest.mark.parametrize("block", [leakage.ITEM_BLOCK, 10])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [leakage.SIEVE_BITS, 6, 9])
+def test_against_brute_force(spark, bits):
+    """Also with sieves that are full: they only let more through."""
     docs, items = made()
-    got = leakage.leaked_items(*frames(spark, docs, items), block=block).collect()
+    got = leakage.leaked_items(*frames(spark, docs, items), bits=bits).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items) and len(got) == len(brute(docs, items)) > 10
     assert {(r.doc_id, r.item_id): r.words for r in got}[900, 101] == 12
 
