@@ -76,13 +76,61 @@ def test_very_long_text(spark):
     assert got == {2: "été " * 30_000}
 
 
-def test_twice_decoded_word():
-    letters = sorted({ord(c) for _, _, t in corpus(30) for c in t} - {32})
+def small_model(texts):
+    letters = sorted({ord(c) for t in texts for c in t} - {32})
     ids = encoding.code_ids(letters)
-    counts = encoding.pd.concat(encoding._pair_counts(ids)(iter([encoding.pd.DataFrame({"word": [w for _, _, t in corpus(30) for w in t.split()], "clean": 1.0})])))
-    model = encoding.Bigrams(ids, encoding.bigram_table(counts, letters))
-    found = encoding.explained(["Ã‚Â£5", "£5", "â€“"], model)
-    assert found[0]["cp1252>utf-8 twice"][1] == "£5" and not found[1] and found[2]["cp1252>utf-8"][1] == "–"
+    codes, starts = encoding.laid_out([w for t in texts for w in t.split()])
+    rows = ids[codes].astype(int)
+    keys, n = encoding.np.unique(rows[:-1] << 20 | rows[1:], return_counts=True)
+    return encoding.bigrams(encoding.pd.DataFrame({"a": keys >> 20, "b": keys & 0xFFFFF, "w": n}), letters, ids)
+
+
+def test_twice_decoded_word():
+    model = small_model([t for _, _, t in corpus(30)])
+    found = [{encoding.SWAPS[s] for s, _ in f} for f in encoding.explained(["Ã‚Â£5", "£5", "â€“"], model)]
+    assert "cp1252>utf-8 twice" in found[0] and not found[1] and "cp1252>utf-8" in found[2]
+    assert encoding.undone("Ã‚Â£5", "cp1252>utf-8 twice") == "£5" and encoding.undone("â€“", "cp1252>utf-8") == "–"
+
+
+def test_references_are_read_to_the_end():
+    assert encoding.unescaped("&" + "amp;" * 9 + "eacute;") == "é"
+
+
+def test_sources_that_garble_and_sources_that_do_not(spark):
+    """The verdict on the same text depends on what its source was learned to do."""
+    rnd = random.Random(3)
+    rows, n = [], 0
+    for d, lang, text in corpus(400, seed=5):
+        if lang == "fr":
+            garbled = rnd.random() < 0.4
+            rows.append((n, text.encode("cp1252", "ignore").decode("cp1250") if garbled else text, "bad"))
+            rows.append((n + 1, text, "good"))
+            n += 2
+    word = next(w for _, lang, t in corpus(400, seed=5) if lang == "fr" for w in t.split() if sum(c in "èê" for c in w) == 1 and len(w) <= 5)
+    probe = word.encode("cp1252").decode("cp1250")
+    df = spark.createDataFrame(rows + [(9001, probe, "bad"), (9002, probe, "good")], "doc_id bigint, text string, declared_charset string")
+    now = encoding.learned(df.select(F.col("declared_charset").alias("source"), "text"))
+    swap = encoding.SWAP_ID["cp1250>cp1252"]
+    bad, good = (now.odds[now.row(x), swap] for x in ("bad", "good"))
+    assert bad - good > 1
+    gain = dict(encoding.explained([probe], now.model)[0])[swap]
+    between = -(bad + good) / 2 + 0.1  # a gain that tells in one source only
+    assert encoding.text_odds(bad, encoding.np.array([between]), 1) > 0 > encoding.text_odds(good, encoding.np.array([between]), 1) and gain > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_a_page_that_is_not_on_the_list_is_deciphered(spark):
+    """Russian pages written in koi8-r and read as Mac Cyrillic, which no listed swap undoes."""
+    assert "mac_cyrillic" not in encoding.READ_AS
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "declared_charset", "lang")
+    garble = lambda t: t.encode("koi8_r", "ignore").decode("mac_cyrillic", "replace")
+    clean = {r.doc_id: r.text for r in docs.where("lang = 'ru'").collect()}
+    planted = [(10_000_000 + d, garble(t), "x-odd", "ru") for d, t in clean.items()]
+    df = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    got = {r.doc_id: r.restored for r in encoding.garbled_texts(df).where("doc_id >= 10000000 and swap = 'deciphered'").collect()}
+    assert len(got) > 0.8 * len(planted)
+    pairs = [(a, b) for d, t in got.items() for a, b in zip(clean[d - 10_000_000].encode("koi8_r", "ignore").decode("koi8_r"), t) if a.isalpha() and ord(a) > 127]
+    assert sum(a.lower() == b.lower() for a, b in pairs) > 0.8 * len(pairs)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
