@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ACCESSION_PREFIXES = ("GCF_", "GCA_")
 
 
+def plain_path(path: Column) -> Column:
+    """A file's address (as in _metadata.file_path) without its percent signs: names may hold spaces and other characters."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -46,6 +51,9 @@ def download_url(refseq: Column, genbank: Column) -> Column:
     return F.regexp_replace(F.concat(path, F.lit("/"), F.substring_index(path, "/", -1), F.lit("_genomic.fna.gz")), "^ftp", "https")
 
 
+# The two patterns below are the formats to be matched.
+
+
 def is_email(text: Column) -> Column:
     return text.rlike(r"^[^@]+@[^@]+\.[^@]+\z")
 

@@ -51,7 +51,10 @@ def entity_cells(rows: DataFrame, spec: dict[str, str] = SPEC, entity: str = "en
     position = F.array_position(F.array(*map(F.lit, names)), F.lower(F.trim(attribute))).cast("int") - 1
     text = F.nullif(F.trim(value), F.lit(""))
     base = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), position.alias("_p"), text.alias("_v"))
-    typed = F.coalesce(*[F.when(F.col("_p") == i, typed_text(F.col("_v"), spec[n], n in upper)) for i, n in enumerate(names)])
+    kinds: dict[tuple[str, bool], list[int]] = {}  # one branch for each type, however many attributes there are
+    for i, n in enumerate(names):
+        kinds.setdefault((spec[n], n in upper), []).append(i)
+    typed = F.coalesce(*[F.when(F.col("_p").isin(at), typed_text(F.col("_v"), kind, up)) for (kind, up), at in kinds.items()])
     base = base.withColumn("_t", typed)
     cells = base.where("_p >= 0 and _v is not null").groupBy("_e", "_p").agg(
         F.min("_t").alias("low"), F.max("_t").alias("high"), F.min(F.when(F.col("_t").isNull(), F.col("_v"))).alias("bad"), F.count(F.lit(1)).alias("given")

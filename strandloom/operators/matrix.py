@@ -44,7 +44,7 @@ def zero_filled(matrix: DataFrame, k: int) -> DataFrame:
 
 
 def wide(matrix: DataFrame, k: int) -> DataFrame:
-    """One row per organism, one column per k-mer in lexicographic order, zeros filled."""
+    """One row per organism, one column per k-mer in lexicographic order, zeros filled; rows in no order (sort by organism_id for one)."""
     return matrix.groupBy("organism_id").pivot("kmer", all_kmers(k)).agg(F.first("value")).na.fill(0.0)
 
 
@@ -56,13 +56,35 @@ def sparse_rows(matrix: DataFrame) -> DataFrame:
 
 
 def sparse_vectors(matrix: DataFrame, k: int) -> DataFrame:
-    """(organism_id, features) with pyspark.ml sparse vectors of size 4^k (k up to 15)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(organism_id, features) with pyspark.ml sparse vectors of size 4^k (k up to 15), made from their struct form, without Python."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
     if k > 15:
         raise ValueError("a vector's index has 32 bits: k is 15 at most")
-    pack = F.udf(lambda i, v: SparseVector(4**k, i, v), VectorUDT())
-    return sparse_rows(matrix).select("organism_id", pack("indices", "values").alias("features"))
+    row = F.to_json(F.struct(F.struct(F.lit(0).alias("type"), F.lit(4**k).alias("size"), F.col("indices").cast("array<int>").alias("indices"), "values").alias("v")))
+    parsed = F.from_json(row, StructType([StructField("v", VectorUDT())]))
+    return sparse_rows(matrix).select("organism_id", parsed["v"].alias("features"))
+
+
+def kmer_vectors(matrix: DataFrame, n_top: int = 500, min_prevalence: float = 0.0, min_variance: float = 0.0) -> DataFrame:
+    """(organism_id, features): dense vectors of the frequencies of the ``n_top`` most varying k-mers that reach the thresholds, for any k.
+
+    Positions follow variance (descending), then the k-mer. The list of k-mers is at most ``n_top`` rows, so it is broadcast. An organism
+    without any of them has a vector of zeros.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    shares = normalize(matrix)
+    organisms = matrix.select("organism_id").distinct()
+    chosen = filter_features(shares, organisms.count(), min_prevalence, min_variance)
+    best = top_features(chosen, organisms.count(), n_top).withColumn("pos", F.row_number().over(Window.orderBy(F.col("variance").desc(), "kmer")) - 1)
+    best = best.select("kmer", "pos").cache()
+    size = best.count()
+    cells = shares.join(F.broadcast(best), "kmer").groupBy("organism_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
+    full = organisms.join(cells, "organism_id", "left")
+    values = F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return full.select("organism_id", array_to_vector(values).alias("features"))
 
 
 def normalize(matrix: DataFrame) -> DataFrame:

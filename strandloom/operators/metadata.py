@@ -24,11 +24,13 @@ def genome_stats(contigs: DataFrame) -> DataFrame:
 def kmer_stats(counts: DataFrame) -> DataFrame:
     """Summary of the counts per (organism_id, k).
 
-    The exact median comes from a histogram of the counts (few distinct values), so no group is held in one buffer of
+    With a column ``file_path`` in ``counts`` the summary names the (smallest) path of each group. The exact median comes from a histogram of the counts (few distinct values), so no group is held in one buffer of
     all its rows. Counts that are null are left out.
     """
-    histogram = counts.where(F.col("cnt").isNotNull()).groupBy("organism_id", "k", "cnt").agg(F.count(F.lit(1)).alias("n"))
+    named = "file_path" in counts.columns
+    histogram = counts.where(F.col("cnt").isNotNull()).groupBy("organism_id", "k", "cnt").agg(F.count(F.lit(1)).alias("n"), *[F.min("file_path").alias("file_path")] * named)
     return histogram.groupBy("organism_id", F.col("k").alias("k_value")).agg(
+        *[F.min("file_path").alias("file_path")] * named,
         F.sum(F.col("cnt") * F.col("n")).alias("total_kmers"),
         F.sum("n").alias("unique_kmers"),
         F.max("cnt").alias("max_count"),

@@ -7,7 +7,7 @@ column and a vector column; labels are an integer column.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .matrix import kmer_vectors, matrix_long
 
 
 def kmeans(vectors: DataFrame, n_clusters: int = 3, seed: int = 42, features: str = "features") -> DataFrame:
@@ -26,15 +27,69 @@ def kmeans(vectors: DataFrame, n_clusters: int = 3, seed: int = 42, features: st
     return KMeans(k=n_clusters, seed=seed, featuresCol=features).fit(vectors).transform(vectors)
 
 
-def hierarchical(vectors: DataFrame, n_clusters: int = 3, seed: int = 42, features: str = "features") -> DataFrame:
-    """``prediction`` by divisive clustering (bisecting k-means), the distributed stand-in for Ward's agglomeration."""
+#: Centroids that Ward's merging starts from; its cost grows with their square on the driver, whatever the number of rows.
+WARD_CENTROIDS = 200
+
+
+def hierarchical(vectors: DataFrame, n_clusters: int = 3, seed: int = 42, features: str = "features", method: str = "bisecting") -> DataFrame:
+    """``prediction`` by divisive clustering (``bisecting`` k-means) or by ``ward``: Ward's merging of k-means centroids (see ward_tree)."""
+    if method == "ward":
+        labelled, _ = ward_tree(vectors, n_clusters, seed, features)
+        return labelled
+    if method != "bisecting":
+        raise ValueError(f"unknown method {method!r}")
     return BisectingKMeans(k=n_clusters, seed=seed, featuresCol=features).fit(vectors).transform(vectors)
 
 
+def ward_tree(vectors: DataFrame, n_clusters: int = 3, seed: int = 42, features: str = "features", centroids: int = WARD_CENTROIDS) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``centroid`` and ``prediction``, and the merge tree (step, left, right, height, size) for a dendrogram.
+
+    Rows are brought to at most ``centroids`` k-means centroids first (Spark's work), whose weights and means are merged by Ward's
+    rule: always the two whose union adds least to the squared distances; ``height`` is the root of twice that. Nodes below the number
+    of centroids are centroids, node ``number + step`` is the merge of that step.
+    """
+    model = KMeans(k=centroids, seed=seed, featuresCol=features, predictionCol="centroid").fit(vectors)
+    placed = model.transform(vectors)
+    means = np.array(model.clusterCenters())
+    weight = np.zeros(len(means))
+    for r in placed.groupBy("centroid").count().collect():
+        weight[r["centroid"]] = r["count"]
+    label = np.arange(len(means))  # current node of each centroid
+    nodes = {i: (means[i], weight[i]) for i in range(len(means)) if weight[i] > 0}
+    tree, cut = [], label.copy()
+    while len(nodes) > 1:
+        if len(nodes) == n_clusters:
+            cut = label.copy()
+        ids = sorted(nodes)
+        x, w = np.array([nodes[i][0] for i in ids]), np.array([nodes[i][1] for i in ids])
+        added = ((x[:, None] - x) ** 2).sum(-1) * (w[:, None] * w / (w[:, None] + w))
+        np.fill_diagonal(added, np.inf)
+        i, j = np.unravel_index(np.argmin(added), added.shape)
+        new = len(means) + len(tree)
+        total = w[i] + w[j]
+        tree.append((len(tree), int(ids[min(i, j)]), int(ids[max(i, j)]), float(np.sqrt(2 * added[i, j])), int(total)))
+        nodes[new] = ((x[i] * w[i] + x[j] * w[j]) / total, total)
+        label[np.isin(label, [ids[i], ids[j]])] = new
+        del nodes[ids[i]], nodes[ids[j]]
+    if n_clusters == 1:
+        cut = label.copy()
+    number = {n: c for c, n in enumerate(sorted(set(cut[weight > 0].tolist())))}
+    to = F.element_at(F.array(*[F.lit(number.get(n, 0)) for n in cut.tolist()]), F.col("centroid") + 1)
+    steps = vectors.sparkSession.createDataFrame(tree, "step int, left int, right int, height double, size bigint")
+    return placed.withColumn("prediction", to), steps
+
+
+#: Coordinates that PCA takes: its covariance is a square of them on the driver.
+MOST_PCA = 4096
+
+
 def reduce_dimensions(vectors: DataFrame, method: str = "pca", n_components: int = 2, features: str = "features") -> DataFrame:
     """``reduced`` by PCA; t-SNE and UMAP have no distributed form here and raise."""
     if method != "pca":
         raise NotImplementedError(f"{method}: only pca is distributed")
+    first = vectors.select(features).first()
+    if first is not None and first[0].size > MOST_PCA:
+        raise ValueError(f"pca is for at most {MOST_PCA} coordinates; take matrix.kmer_vectors for k-mers of larger k")
     return PCA(k=n_components, inputCol=features, outputCol="reduced").fit(vectors).transform(vectors)
 
 
@@ -94,14 +149,28 @@ def top_kmers_per_cluster(matrix: DataFrame, labels: DataFrame, n_top: int = 20)
 
 
 def cluster_organisms(vectors: DataFrame, reduction: str | None = "pca", n_components: int = 2, clustering: str = "hierarchical", n_clusters: int = 3) -> DataFrame:
-    """Reduction, then clustering: ``prediction`` per row."""
+    """Reduction, then clustering (``hierarchical``, ``ward`` or ``kmeans``): ``prediction`` per row."""
     column = "features"
     if reduction:
         vectors, column = reduce_dimensions(vectors, reduction, n_components), "reduced"
-    method = {"hierarchical": hierarchical, "kmeans": kmeans}.get(clustering)
-    if method is None:
+    methods = {"hierarchical": hierarchical, "kmeans": kmeans, "ward": partial(hierarchical, method="ward")}
+    if clustering not in methods:
         raise ValueError(f"unknown clustering {clustering!r}")
-    return method(vectors, n_clusters, features=column)
+    return methods[clustering](vectors, n_clusters, features=column)
+
+
+def cluster_kmers(features: DataFrame, k: int = 8, metric: str = "count", n_top: int = 500, min_prevalence: float = 0.0, min_variance: float = 0.0, reduction: str | None = "pca", n_components: int = 2, clustering: str = "hierarchical", n_clusters: int = 3) -> DataFrame:
+    """(organism_id, prediction) from k-mer rows (organism_id, kmer, k, metric): matrix, frequencies, filter, top k-mers, reduction, clusters.
+
+    Null metrics and organisms are left out. For any k, as only the ``n_top`` most varying k-mers become coordinates.
+    """
+    rows = features.where(F.col("organism_id").isNotNull() & F.col("kmer").isNotNull() & F.col(metric).isNotNull())
+    vectors = written(kmer_vectors(matrix_long(rows, metric, k), n_top, min_prevalence, min_variance), "vectors")
+    size = len(vectors.first().features) if not vectors.isEmpty() else 0
+    if size == 0:
+        return vectors.select("organism_id", F.lit(0).alias("prediction"))
+    found = cluster_organisms(vectors, reduction if size > n_components else None, n_components, clustering, n_clusters)
+    return found.select("organism_id", "prediction")
 
 
 #: Points of one cell that a block holds; a task compares two blocks.

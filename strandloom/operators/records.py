@@ -3,7 +3,7 @@
 The tokenizer is a finite-state machine run over whole batches of records at once. The bytes are cut into chunks; for
 each chunk the transition it makes from every state is found for all chunks together, the chunks' transitions are
 composed along the buffer, and with its entry state known each chunk then gives the state after each of its bytes. A
-record of any length is thus no special case, and no step loops over rows.
+record of any length is thus no special case; only the cutting of the found fields goes row by row.
 """
 
 from __future__ import annotations
@@ -143,10 +143,16 @@ def read_records(raw: DataFrame, line: str = "line", fields: Sequence[str] = FIE
 
 
 def valid_rows(records: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """The loaded rows: raw columns whose names do not clash, and the typed fields (trimmed, empty as null, the date as DATE)."""
+    """The loaded rows: raw columns whose names do not clash, and the typed fields (trimmed, empty as null, the date as DATE).
+
+    A scaffold number that is no whole number does not make a record fail; it is null in its typed column, and its text stays in
+    ``assembly_stats_number_of_scaffolds_text``, null wherever the number was read.
+    """
     cells = {c: F.nullif(F.trim(F.col("record_.fields")[i]), F.lit("")) for i, c in enumerate(fields)}
     cells["assembly_release_date"] = cells["assembly_release_date"].cast("date")
-    cells["assembly_stats_number_of_scaffolds"] = cells["assembly_stats_number_of_scaffolds"].try_cast("bigint")
+    scaffolds = cells["assembly_stats_number_of_scaffolds"]
+    cells["assembly_stats_number_of_scaffolds"] = scaffolds.try_cast("bigint")
+    cells["assembly_stats_number_of_scaffolds_text"] = F.when(scaffolds.try_cast("bigint").isNull(), scaffolds)
     keep = [c for c in records.columns if c != "record_" and c.lower() not in cells]
     return records.where("record_.reason is null").select(*[F.col(f"`{c}`") for c in keep], *[v.alias(c) for c, v in cells.items()])
 

@@ -178,9 +178,14 @@ def _latest(spark, d):
     return metadata.latest_rows(meta, ["genome_id"], ["last_updated", "meta_id"])
 
 
-@query(f"with {LOADED}, {LATEST} select c.organism_id, kmer, cnt \"count\", k, {GC}, nullif(total_size, 0) genome_size from counts c left join meta m on c.organism_id = m.genome_id where k in (8, 12)")
+@query(f"with {LOADED}, {LATEST} select c.organism_id, kmer, cnt \"count\", k, {GC}, nullif(total_size, 0) genome_size from counts c left join meta m on c.organism_id = m.genome_id")
 def feat_genome_size(spark, d):
-    return _rounded(features.kmer_features(_loaded(spark, d), ["gc_content"], _latest(spark, d), ks=[8, 12]))
+    return _rounded(features.kmer_features(_loaded(spark, d), ["gc_content"], _latest(spark, d)))
+
+
+@query(_sql_features(GC) + " where k in (8, 12)")
+def feat_k_filter(spark, d):
+    return _rounded(features.kmer_features(_loaded(spark, d), ["gc_content"], ks=[8, 12]))
 
 
 # --- metadata -------------------------------------------------------------------------------------------------------
@@ -201,11 +206,12 @@ def kmer_stats(spark, d):
     return metadata.kmer_stats(_loaded(spark, d)).withColumn("mean_count", F.round("mean_count", 6))
 
 
-@query(f"with {GENOMES} select genome_id, contigs, total_size, n_count from genomes where genome_id not in (select concat('ORG_', s_nationkey) from supplier)")
+@query(f"with {GENOMES} select genome_id, contigs, total_size, round(case when total_size > 0 then gc * 100.0::double / total_size else 0 end, 9) gc_content, n_count from genomes where genome_id not in (select concat('ORG_', n_nationkey) from nation where n_regionkey < 2)")
 def genome_incremental(spark, d):
-    known = table(spark, d, "supplier").select(F.concat(F.lit("ORG_"), "s_nationkey").alias("genome_id"))
+    """The genomes of the first two regions are known, those of the others are new."""
+    known = table(spark, d, "nation").where("n_regionkey < 2").select(F.concat(F.lit("ORG_"), "n_nationkey").alias("genome_id"))
     todo = metadata.missing_rows(contigs(spark, d, "orders").withColumnRenamed("organism_id", "genome_id"), known, ["genome_id"])
-    return metadata.genome_stats(todo.withColumnRenamed("genome_id", "organism_id")).drop("gc_content")
+    return _rounded(metadata.genome_stats(todo.withColumnRenamed("genome_id", "organism_id")))
 
 
 @query(f"with {LOADED}, {STATS} select organism_id, k_value, total_kmers, unique_kmers from stats s where not exists (select 1 from genome_metadata m where m.genome_id = s.organism_id and m.k_value = s.k_value and m.total_kmers is not null)")
@@ -399,7 +405,7 @@ def evaluate(spark, d):
 
 @query()
 def optimize_k(spark, d):
-    return ml.optimize_clusters(_embeddings(spark, d).select("features"), range(2, 6))
+    return ml.optimize_clusters(_embeddings(spark, d).select("features"))
 
 
 @query()
@@ -407,6 +413,23 @@ def cluster_pipeline(spark, d):
     return ml.cluster_organisms(_embeddings(spark, d), "pca", 2, "hierarchical", 3).select("vec_id", "prediction")
 
 
+@query()
+def cluster_kmers(spark, d):
+    """k-mer rows to matrix, frequencies, top k-mers, PCA and clusters."""
+    return ml.cluster_kmers(_rows(spark, d), 8)
+
+
+@query()
+def cluster_kmers_ward(spark, d):
+    return ml.cluster_kmers(_rows(spark, d), 12, clustering="ward")
+
+
+@query()
+def ward_merges(spark, d):
+    _, tree = ml.ward_tree(_embeddings(spark, d).select("features"), 10)
+    return tree
+
+
 @query(
     "with e as (select vec_id, label, unnest(embedding)::double x, unnest(range(len(embedding))) pos from embeddings where label is not null),"
     " m as (select label, pos, avg(x) m from e group by 1, 2),"
@@ -509,9 +532,25 @@ def p4_wide(spark, d):
     return entities.wide_entities(entities.entity_cells(rows, spec), spec)
 
 
-@query()
+def _all_typed(kinds: dict[str, str]) -> str:
+    """The typed spelling of every attribute in SQL; those that the list of types lacks are text."""
+    whole = [n for n, t in kinds.items() if t in entities.WHOLE]
+    cases = " ".join(f"when '{n}' then (case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as {kinds[n]}) end)::varchar" for n in whole)
+    doubles = ", ".join(f"'{n}'" for n, t in kinds.items() if t == "double")
+    return f"case when attribute in ({doubles}) then try_cast(v as double)::varchar when attribute = 'kmer' then upper(v) else case attribute {cases} else v end end"
+
+
+@query(
+    "with cells as (select entity_id, lower(trim(attribute, ' ')) attribute, nullif(trim(attr_value, ' '), '') v from feature_attributes where entity_id is not null),"
+    f" typed as (select entity_id, attribute, v, {_all_typed(entities.SPEC)} t from cells where v is not null and attribute <> ''),"
+    " cell as (select entity_id, attribute, count(*) > count(t) bad, count(distinct t) > 1 two from typed group by 1, 2)"
+    " select entity_id, attribute, case when bad then 'does not fit the type' else 'contradicting values' end reason from cell where bad or two"
+)
 def p4_failed_cells(spark, d):
-    return entities.failed_cells(_cells(spark, d))
+    """Over all attributes that occur, as in p4_wide."""
+    rows = table(spark, d, "feature_attributes")
+    spec = entities.discovered_spec(rows)
+    return entities.failed_cells(entities.entity_cells(rows, spec), spec).select("entity_id", "attribute", "reason")
 
 
 @query(f"with {_TYPED}, one as (select entity_id, attribute, min(t) t from typed group by 1, 2 having count(distinct t) = 1) select e.entity_id, max(case when attribute = 'kmer' then t end) kmer, max(case when attribute = 'k' then t end)::int k, max(case when attribute = 'count' then t end)::bigint \"count\" from (select distinct entity_id from cells) e left join one o on e.entity_id = o.entity_id group by 1")

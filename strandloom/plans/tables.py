@@ -11,12 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table scan that has fewer splits than there are cores, dealt out over the cores; others stay where they lie.
+    """Rows of a table that lies in far fewer files than there are cores, dealt out over the cores; others stay where they lie.
 
-    For work that far exceeds the moving of its rows (text, windows) on tables that are one small file.
+    For work that far exceeds the moving of its rows (text, windows) on tables that are one small file. The rows and results are the
+    same either way; only the files are listed, nothing is planned or read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
 
 
 def _letters(prefix: str, key: str):

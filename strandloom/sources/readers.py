@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.names import file_stem, is_accession, k_of_file, parent_name
+from ..functions.names import file_stem, is_accession, k_of_file, parent_name, plain_path
 
 FASTA_SUFFIXES = ("fa", "fasta", "fna")
 FEATURE_SCHEMA = (
@@ -43,7 +45,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], check_names: bool =
     ``check_names`` two files of one stem raise.
     """
     name = F.regexp_replace("_file", r"\.gz$", "")
-    raw = spark.read.option("lineSep", "\n>").text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
+    raw = spark.read.option("lineSep", "\n>").text(paths).select("value", plain_path(F.col("_metadata.file_path")).alias("_file"))
     if check_names:
         twice = spark.read.format("binaryFile").load(paths).select(file_stem(F.regexp_replace("path", r"\.gz$", "")).alias("s"))
         if bad := [r.s for r in twice.groupBy("s").count().where("count > 1").limit(5).collect()]:
@@ -60,30 +62,50 @@ def fasta_upper(lines: DataFrame) -> DataFrame:
 
 
 def read_kmer_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(organism_id, k, kmer, count) of '<organism>/k<k>.txt[.gz]' files, with or without a header line.
+    """(organism_id, k, kmer, count) of '<organism>/k<k>.txt[.gz]' files anywhere below ``paths``, with or without a header line.
 
     The k-mer stays text, so leading zeros of the digit code are kept. Files whose name has no k, and lines whose count is
     no number, are left out; an empty file gives no rows.
     """
-    rows = spark.read.schema("kmer string, count string").option("sep", "\t").csv(paths)
-    path = F.col("_metadata.file_path")
+    rows = spark.read.schema("kmer string, count string").option("sep", "\t").option("recursiveFileLookup", True).csv(paths)
+    path = plain_path(F.col("_metadata.file_path"))
     rows = rows.select(parent_name(path).alias("organism_id"), k_of_file(path).alias("k"), "kmer", F.expr("try_cast(count as bigint)").alias("count"))
     return rows.where(F.col("k").isNotNull() & F.col("count").isNotNull())
 
 
 def read_feature_csv(spark: SparkSession, paths: str | list[str], metric: str = "count") -> DataFrame:
-    """Feature files with a header, with their file's organism; a file without the column of ``metric`` gives nulls there.
+    """Feature files ('<organism>_kmer_features.csv' or any name) with a header, and their file's organism; quoting as CSV has it.
 
-    Columns are taken by name (the header differs with the feature groups); those in no file are null.
+    Columns are taken by name (the header differs with the feature groups); those that a file lacks are null. A file without the
+    column kmer or that of ``metric`` is skipped. Only the first line of each file is looked at beforehand; files of one header are
+    read together.
     """
     kinds = dict(x.strip().split(" ") for x in FEATURE_SCHEMA.split(","))
     if metric not in kinds:
         raise ValueError(f"no column {metric!r}")
-    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
-    header = rows.where(F.col("value").rlike(r"(^|,)kmer(,|$)")).select("_file", F.split(F.trim("value"), ",").alias("_h")).dropDuplicates(["_file"])
-    cells = rows.where(~F.col("value").rlike(r"(^|,)kmer(,|$)")).join(header, "_file").withColumn("_m", F.map_from_arrays("_h", F.slice(F.split(F.trim("value"), ","), 1, F.size("_h"))))
-    columns = [F.try_element_at("_m", F.lit(c)).try_cast(t).alias(c) for c, t in kinds.items()]
-    return cells.where("size(split(trim(value), ',')) >= size(_h)").select(F.regexp_replace(file_stem(F.col("_file")), "_kmer_features$", "").alias("organism_id"), *columns)
+    groups: dict[str, list[str]] = {}
+    for path in spark.read.option("recursiveFileLookup", True).text(paths).inputFiles():
+        groups.setdefault(_first_line(spark, path), []).append(path)
+    organism = F.regexp_replace(file_stem(plain_path(F.col("_metadata.file_path"))), "_kmer_features$", "").alias("organism_id")
+    out = spark.createDataFrame([], "organism_id string, " + FEATURE_SCHEMA)
+    for header, files in sorted(groups.items()):
+        names = next(csv.reader([header]), [])
+        if "kmer" in names and metric in names:
+            schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
+            rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+            cells = [F.col(f"_c{names.index(c)}").try_cast(t).alias(c) if c in names else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+            out = out.unionByName(rows.select(organism, *cells))
+    return out
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
 
 
 def read_accession_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -123,9 +145,15 @@ def read_accessions(spark: SparkSession, path: str, column: int | str | None = N
 
 
 def read_metadata_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Two flat tables of a metadata file: genomes, and k-mer summaries per organism and k; both empty if it is absent or broken."""
+    """Two flat tables of metadata in JSON: genomes, and k-mer summaries per organism and k; both empty if it is absent or broken.
+
+    JSON lines (one object a line, as ``sinks.write_metadata_json`` writes them) are read by all tasks. Where the first line is no
+    whole object, each file is one document, which one task parses: a form for small files only.
+    """
     try:
-        text = spark.read.text(path, wholetext=True)
+        lines = spark.read.text(path)
+        first = lines.where(F.length(F.trim("value")) > 0).select(F.from_json("value", METADATA_SCHEMA).isNotNull().alias("whole"), F.trim("value").endswith("}").alias("ends")).first()
+        text = lines if first is not None and first.whole and first.ends else spark.read.text(path, wholetext=True)
     except AnalysisException:
         text = spark.createDataFrame([], "value string")
     rows = text.select(F.explode(F.from_json("value", METADATA_SCHEMA)).alias("genome_id", "m"))
@@ -133,3 +161,14 @@ def read_metadata_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     genomes = rows.select("genome_id", *[F.col(f"m.{f}") for f in fields]).withColumn("last_updated", F.expr("try_to_timestamp(last_updated, 'yyyy-MM-dd HH:mm:ss')"))
     kmers = rows.select(F.col("genome_id").alias("organism_id"), F.explode("m.kmers").alias("_k", "s")).select("organism_id", "s.*")
     return genomes, kmers
+
+
+def genome_size(genomes: DataFrame, genome_id: str) -> int | None:
+    """The total size of one genome, or None if it is unknown or 0."""
+    row = genomes.where(F.col("genome_id") == genome_id).agg(F.max("total_size").alias("s")).first()
+    return row.s or None
+
+
+def available_genomes(genomes: DataFrame) -> DataFrame:
+    """(genome_id), each once."""
+    return genomes.where("genome_id is not null").select("genome_id").distinct()

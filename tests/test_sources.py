@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import names as fn
+from strandloom.functions.kmer import decode
 from strandloom.operators.counting import count_kmers
 from strandloom.operators.features import kmer_features
-from strandloom.operators.metadata import metadata_document
+from strandloom.operators.metadata import kmer_stats, metadata_document
 from strandloom.sources import fasta_source, readers, sinks
 from strandloom.streaming import counts as stream
 
@@ -53,23 +54,56 @@ def test_kmer_text(spark, tmp_path):
 
 @pytest.mark.parametrize("compress", [False, True])
 def test_kmer_round_trip(spark, tmp_path, compress):
-    counts = spark.createDataFrame([("o", 4, "AAAC", 3), ("o", 4, "ACGT", 1), ("p", 5, "AAAAA", 2)], "organism_id string, k int, kmer string, cnt bigint")
+    rows = [("o", 4, "AAAC", 3), ("o", 4, "ACGT", 1), ("GCF_1_2 +x=%", 5, "AAAAA", 2), ("o", 5, "CCCCC", 9)]
+    counts = spark.createDataFrame(rows, "organism_id string, k int, kmer string, cnt bigint")
     sinks.write_kmer_text(counts, str(tmp_path / "t"), compress)
-    lines = spark.read.text(str(tmp_path / "t")).collect()
-    assert {r.value for r in lines} == {"0002\t3", "0231\t1", "00000\t2"}
+    end = ".gz" if compress else ""
+    assert (tmp_path / "t" / "o" / f"k4.txt{end}").exists() and (tmp_path / "t" / "GCF_1_2 +x=%" / f"k5.txt{end}").exists()
+    assert {r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "t")).collect()} == {"0002\t3", "0231\t1", "00000\t2", "22222\t9"}
+    back = readers.read_kmer_text(spark, str(tmp_path / "t"))
+    assert {(r.organism_id, r.k, r.kmer, r["count"]) for r in back.withColumn("kmer", decode(F.col("kmer"))).collect()} == set(rows)
     sinks.write_counts(counts, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).where("k = 4").count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_kmer_text(counts.withColumn("organism_id", F.lit(None).cast("string")), str(tmp_path / "n"))
 
 
 def test_feature_csv(spark, tmp_path):
-    counts = spark.createDataFrame([("o", 4, "ACGT", 1)], "organism_id string, k int, kmer string, cnt bigint")
-    sinks.write_feature_csv(kmer_features(counts, "basic"), str(tmp_path / "f"))
-    row = readers.read_feature_csv(spark, str(tmp_path / "f" / "organism_id=o"), "gc_percent").first()
-    assert (row.kmer, row["count"], row.gc_percent, row.has_repeat) == ("ACGT", 1, 50.0, None)
+    counts = spark.createDataFrame([("org1", 4, "ACGT", 1), ("org2", 4, "AAAA", 2)], "organism_id string, k int, kmer string, cnt bigint")
+    wanted = kmer_features(counts, "basic")
+    sinks.write_feature_csv(wanted, str(tmp_path / "f"))
+    assert (tmp_path / "f" / "org1_kmer_features.csv").exists()
+    (tmp_path / "f" / "no_metric_kmer_features.csv").write_text("kmer,count\nACGT,1\n")
+    (tmp_path / "f" / "no_kmer.csv").write_text("gc_percent\n1\n")
+    (tmp_path / "f" / "quoted.csv").write_text('count,"kmer",gc_percent,note\n7,"ACGA",50.0,"a,b"\nx\n')
+    (tmp_path / "f" / "empty.csv").write_text("")
+    back = readers.read_feature_csv(spark, str(tmp_path / "f"), "gc_percent")
+    names = wanted.columns
+    assert {tuple(r[c] for c in names) for r in back.where("organism_id like 'org%'").collect()} == {tuple(r) for r in wanted.collect()}
+    assert {(r.organism_id, r.kmer, r["count"]) for r in back.where("organism_id not like 'org%'").collect()} == {("quoted", "ACGA", 7), ("quoted", None, None)}
+    assert back.where("has_repeat is not null").count() == 0
     with pytest.raises(ValueError):
         readers.read_feature_csv(spark, str(tmp_path / "f"), "colour")
 
 
+@pytest.mark.parametrize("one", [False, True])
+def test_metadata_round_trip(spark, tmp_path, one):
+    genomes = spark.createDataFrame([(f"g{i}", f"/x/g{i}.fa", i, 10 * i, 50.0, 0) for i in range(1, 4)], "genome_id string, file_path string, contigs bigint, total_size bigint, gc_content double, n_count bigint")
+    genomes = genomes.withColumn("last_updated", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    counts = spark.createDataFrame([("g1", 8, "A" * 8, 3, "p"), ("g1", 9, "A" * 9, 4, "q"), ("g3", 8, "C" * 8, 1, "r")], "organism_id string, k int, kmer string, cnt bigint, file_path string")
+    stats = kmer_stats(counts)
+    path = str(tmp_path / "m")
+    sinks.write_metadata_json(metadata_document(genomes, stats).coalesce(1), path, one_document=one)
+    if one:
+        text = "".join(f.read_text() for f in (tmp_path / "m").glob("part-*"))
+        assert list(json.loads(text)) == ["g1", "g2", "g3"] and json.loads(text)["g1"]["kmers"]["9"]["file_path"] == "q"
+    back, summaries = readers.read_metadata_json(spark, path)
+    assert {tuple(r[c] for c in genomes.columns) for r in back.collect()} == {tuple(r) for r in genomes.collect()}
+    assert {tuple(r[c] for c in stats.columns) for r in summaries.collect()} == {tuple(r) for r in stats.collect()}
+    assert readers.genome_size(back, "g2") == 20 and readers.genome_size(back, "none") is None
+    assert readers.available_genomes(back).count() == 3
+
+
 def test_accessions(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n#x\nF_1\nGCF_1.1\nGCF_1.1\nGCA_2.1 GCF_3.1\n")
     assert {r.accession for r in readers.read_accessions(spark, str(tmp_path / "a.txt")).collect()} == {"GCF_1.1", "GCA_2.1", "GCF_3.1"}
