@@ -92,7 +92,7 @@ P5_KEYS, P5_PARTS, SALTS = ["organism_id", "k"], ["run_id", "day"], 16
 
 
 def _values(spark, d):
-    """The histogram of counts by organism, k, run and day; exact duplicates once.
+    """The histogram of counts by organism, k, run and day, in one row a salt; exact duplicates once.
 
     Rows are dealt out by what they are counted by and a salt of the k-mer, so duplicates meet and one shuffle serves both steps,
     while a value that most rows of a run have is spread over tasks.
@@ -100,11 +100,12 @@ def _values(spark, d):
     rows = table(spark, d, "kmer_counts").where("`count` > 0 and organism_id is not null and k is not null")
     rows = rows.withColumns({"day": F.to_date("counted_at"), "salt": F.pmod(F.xxhash64("kmer"), F.lit(SALTS))})
     rows = rows.repartition(*P5_KEYS, *P5_PARTS, "count", "salt").dropDuplicates()
-    return percentiles.histogram(rows.groupBy(*P5_KEYS, *P5_PARTS, "count", "salt").agg(F.count(F.lit(1)).alias("n")), [*P5_KEYS, *P5_PARTS], "count", "n")
+    counts = rows.groupBy(*P5_KEYS, *P5_PARTS, "count", "salt").agg(F.count(F.lit(1)).alias("weight"))
+    return written(counts.select(*P5_KEYS, *P5_PARTS, F.col("count").cast("double").alias("value"), "weight"), "histogram")
 
 
 def _digests(values):
-    return percentiles.merged(percentiles.digests(values, P5_KEYS, P5_PARTS, pieces=percentiles.pieces_of(values)), P5_KEYS)
+    return percentiles.merged(percentiles.digests(values, P5_KEYS, P5_PARTS), P5_KEYS)
 
 
 @query(
@@ -113,7 +114,7 @@ def _digests(values):
 )
 def p5_found(spark, d):
     values = _values(spark, d)
-    medians = percentiles.exact_medians(percentiles.histogram(values, P5_KEYS, "value", "weight"), _digests(values), P5_KEYS)
+    medians = percentiles.exact_medians(values, _digests(values), P5_KEYS)
     meta = table(spark, d, "genome_metadata").where("median_count is not null")
     both = meta.join(medians, (meta.genome_id == medians.organism_id) & (meta.k_value == medians.k))
     return both.where(F.abs(F.col("median_count") - F.col("median")) > 0.2 * F.col("median")).select("meta_id")
@@ -122,7 +123,7 @@ def p5_found(spark, d):
 @query()
 def p5_percentiles(spark, d):
     values = _values(spark, d)
-    return percentiles.certified(values, _digests(values), P5_KEYS, P5_SHARES, percentiles.pieces_of(values))
+    return percentiles.certified(values, _digests(values), P5_KEYS, P5_SHARES)
 
 
 # --- p6: frequency of every term ------------------------------------------------------------------------------------
