@@ -52,10 +52,16 @@ def count_kmers(contigs: DataFrame, ks: Iterable[int] = DEFAULT_KS, chunk: int =
 
 
 def count_status(contigs: DataFrame, counts: DataFrame) -> DataFrame:
-    """One status row per organism of ``contigs``: how many k-mers it gave, and ``ok`` or ``no k-mers``."""
+    """One status row per organism of ``contigs``: how many k-mers it gave, and ``ok`` or ``no k-mers``.
+
+    Where ``contigs`` has a column ``error`` (files that could not be read, see fasta_source) the status is ``failed: `` and the
+    reason, so one broken file costs no other organism its counts.
+    """
     got = counts.groupBy("organism_id").agg(F.sum("cnt").alias("total_kmers"))
-    out = contigs.select("organism_id").distinct().join(got, "organism_id", "left")
-    return out.withColumn("status", F.when(F.col("total_kmers") > 0, "ok").otherwise("no k-mers"))
+    error = F.max("error") if "error" in contigs.columns else F.max(F.lit(None).cast("string"))
+    out = contigs.groupBy("organism_id").agg(error.alias("_error")).join(got, "organism_id", "left")
+    status = F.when(F.col("_error").isNotNull(), F.concat(F.lit("failed: "), "_error")).when(F.col("total_kmers") > 0, "ok").otherwise("no k-mers")
+    return out.withColumn("status", status).drop("_error")
 
 
 def readable_counts(raw: DataFrame) -> DataFrame:

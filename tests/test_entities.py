@@ -50,5 +50,8 @@ def test_discovered_attributes(spark):
     assert list(spec) == [*entities.SPEC, "colour"]
     wide = {r.entity_id: (r.colour, r.k) for r in entities.wide_entities(entities.entity_cells(df, spec), spec).collect()}
     assert wide == {1: ("red", None), 2: (None, 3)}
+    two = rows(spark, (1, "colour", "red"), (1, "colour", "blue"))
+    spec = entities.discovered_spec(two)
+    assert {(r.entity_id, r.attribute) for r in entities.failed_cells(entities.entity_cells(two, spec), spec).collect()} == {(1, "colour")}
     with pytest.raises(ValueError):
         entities.discovered_spec(df, most=5)

@@ -1,5 +1,6 @@
 """Metadata, matrices and clustering on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -107,3 +108,38 @@ def test_top_kmers_per_cluster(spark):
     labels = spark.createDataFrame([("X", 0), ("Y", 1)], "organism_id string, prediction int")
     got = {(r.prediction, r["rank"]): (r.kmer, r.score) for r in ml.top_kmers_per_cluster(m, labels, 1).collect()}
     assert got == {(0, 1): ("AC", 2.0), (1, 1): ("GT", 2.0)}
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e3, 1e7])
+@pytest.mark.parametrize("size", [2, 16, 256])
+def test_close_pairs_equal_brute_force_at_any_offset(spark, offset, size):
+    rng = np.random.default_rng(size)
+    x = offset + rng.normal(0, 0.5 / np.sqrt(size), (120, size))
+    x[1::3] = x[::3] + rng.normal(0, 0.1 / np.sqrt(size), x[::3].shape)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= 0.5}
+    got = [tuple(r) for r in ml.close_pairs(df, "id", "x", 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == true and true
+
+
+@pytest.mark.parametrize("k", [8, 12])
+@pytest.mark.parametrize("how", ["hierarchical", "ward", "kmeans"])
+def test_from_kmers_to_clusters(spark, k, how):
+    """Two kinds of organisms whose k-mers differ come apart."""
+    rows = [(f"{kind}{i}", base * k, k, 5 + i) for kind, bases in (("a", "AC"), ("b", "GT")) for i in range(5) for base in bases] + [("a0", None, k, 1), (None, "A" * k, k, 1)]
+    df = spark.createDataFrame(rows, "organism_id string, kmer string, k int, count bigint")
+    found = {r.organism_id: r.prediction for r in ml.cluster_kmers(df, k, clustering=how, n_clusters=2).collect()}
+    assert len(found) == 10 and len({found[f"a{i}"] for i in range(5)}) == len({found[f"b{i}"] for i in range(5)}) == 1 and found["a0"] != found["b0"]
+
+
+def test_ward_tree_and_too_wide_pca(spark):
+    v = points(spark).withColumn("features", array_to_vector("x"))
+    labelled, tree = ml.ward_tree(v, 3)
+    steps = tree.orderBy("step").collect()
+    assert [r.step for r in steps] == list(range(len(steps))) and steps[-1]["size"] == 9 and all(a.height <= b.height + 1e-9 for a, b in zip(steps, steps[1:]))
+    got = {r.id: r.prediction for r in labelled.collect()}
+    assert len(set(got.values())) == 3 and got[10] == got[14] != got[0] == got[2] != got[99]
+    with pytest.raises(ValueError):
+        ml.cluster_organisms(matrix.sparse_vectors(matrix.matrix_long(spark.createDataFrame([("x", "ACGTACGT", 1)], "organism_id string, kmer string, count bigint")), 8))
+    with pytest.raises(ValueError):
+        ml.hierarchical(v, method="single")

@@ -6,9 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom import cli
 from strandloom.functions import names as fn
 from strandloom.functions.kmer import decode
-from strandloom.operators.counting import count_kmers
+from strandloom.operators.counting import count_kmers, count_status
 from strandloom.operators.features import kmer_features
 from strandloom.operators.metadata import kmer_stats, metadata_document
 from strandloom.sources import fasta_source, readers, sinks
@@ -158,3 +159,26 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.append_counts(reader.parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), [3]).awaitTermination()
     got = {tuple(r) for r in stream.current_counts(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {tuple(r) for r in count_kmers(rows, [3]).collect()}
+
+
+def test_broken_file_costs_no_other_organism(spark, tmp_path):
+    (tmp_path / "G_1.fa").write_text(">a\nACGTACGT\n")
+    (tmp_path / "G_2.fa.gz").write_bytes(gzip.compress(b">a\nACGT\n" * 1000)[:-20])
+    (tmp_path / "G_3.fna").write_text(">a\nNN\n")
+    fasta_source.register(spark)
+    contigs = spark.read.format("fasta_ordered").option("errors", "keep").load(str(tmp_path))
+    status = {r.organism_id: r.status for r in count_status(contigs, count_kmers(contigs, [4])).collect()}
+    assert status["G_1"] == "ok" and status["G_3"] == "no k-mers" and status["G_2"].startswith("failed: ")
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "G_1.fa").write_text(">a\nACGTACGTAC\n")
+    at = lambda name: str(tmp_path / name)
+    cli.main(["count", at("in"), at("counts"), "-k", "4", "5"], spark)
+    cli.main(["features", at("counts"), at("features"), "--groups", "basic"], spark)
+    cli.main(["metadata", at("in"), at("meta"), "--counts", at("counts"), "--one-document"], spark)
+    rows = readers.read_feature_csv(spark, at("features")).collect()
+    assert {(r.organism_id, r.kmer, r["count"]) for r in rows if r.k == 4} == {("G_1", "ACGT", 2), ("G_1", "CGTA", 2), ("G_1", "GTAC", 2), ("G_1", "TACG", 1)}
+    genomes, kmers = readers.read_metadata_json(spark, at("meta"))
+    assert genomes.first().total_size == 10 and {(r.k_value, r.total_kmers) for r in kmers.collect()} == {(4, 7), (5, 6)}
