@@ -504,7 +504,26 @@ def p1_failed_rows(spark, d):
     return records.failed_rows(_records(spark, d))
 
 
-@query()
+def _p1_valid_sql() -> str:
+    """The complement of p1_found, with the fields cut, unquoted and typed."""
+    cut = f"regexp_extract_all(regexp_replace(line, '\\r$', '') || chr(9), '(?s)({_CELL})\\t', 1)"
+    part = lambda i: f"nullif(trim(case when starts_with(f[{i}], '\"') then replace(f[{i}][2:-2], '\"\"', '\"') else f[{i}] end, ' '), '')"
+    cells = []
+    for i, name in enumerate(records.FIELDS, 1):
+        whole = f"case when regexp_full_match({part(i)}, '[+-]?[0-9]+') then try_cast({part(i)} as bigint) end"
+        kinds = {"assembly_release_date": f"{part(i)}::date", "assembly_stats_number_of_scaffolds": whole}
+        cells.append(f"{kinds.get(name, part(i))} {name}")
+        if name == "assembly_stats_number_of_scaffolds":
+            cells.append(f"case when ({whole}) is null then {part(i)} end {name}_text")
+    first = f"regexp_extract(regexp_replace(line, '\\r$', ''), '^((?s:{_CELL}))(?:\\t|$)', 1)"
+    return (
+        f"with bad as ({_p1_sql()}), good as (select *, {cut} f from ncbi_raw where line is not null and not regexp_full_match(line, '\\s*')"
+        f" and {first} not in ('Assembly Accession', chr(65279) || 'Assembly Accession', '\"Assembly Accession\"') and raw_id not in (select raw_id from bad))"
+        f" select raw_id, file_name, line_no, received_at, line, {', '.join(cells)} from good"
+    )
+
+
+@query(_p1_valid_sql())
 def p1_valid_rows(spark, d):
     return records.valid_rows(_records(spark, d))
 
