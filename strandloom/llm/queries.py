@@ -155,7 +155,10 @@ def _leaks(spark, d):
     return leakage.leaked_items(_texts(spark, d), table(spark, d, "eval_items"))
 
 
-@query()
+_GRAMS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from (select {id}, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') w from {table} where text is not null)"
+
+
+@query(f"select distinct doc_id, item_id from ({_GRAMS.format(id='doc_id', table='documents')}) join ({_GRAMS.format(id='item_id', table='eval_items')}) using (g)")
 def p8_found(spark, d):
     return _leaks(spark, d).select("doc_id", "item_id")
 
