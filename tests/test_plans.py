@@ -22,6 +22,12 @@ def test_features_do_not_shuffle(spark):
     assert "Exchange" not in text and "Python" not in text
 
 
+def test_features_are_a_projection_above_aggregated_counts(spark):
+    text = plan(core_queries.feat_all(spark, SF))
+    entropy = [line for line in text.splitlines() if "LOG2" in line.upper()]
+    assert entropy and all("Project" in line for line in entropy)
+
+
 def test_counting_shuffles_once_after_partial_counts(spark):
     contigs = spark.createDataFrame([("x", "ACGT")], "organism_id string, seq string")
     text = plan(counting.count_kmers(contigs, [2, 3]))
