@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmer import is_kmer, letters, only_bases
+from ..functions.kmer import is_kmer, letters
 
 DEFAULT_KS = (8, 9, 10, 11, 12)
 
@@ -20,35 +20,39 @@ def checked_ks(ks: Iterable[int]) -> list[int]:
     return out
 
 
-def kmer_windows(contigs: DataFrame, ks: Iterable[int] = DEFAULT_KS, chunk: int = 2048, keep_ambiguous: bool = False) -> DataFrame:
+def kmer_windows(contigs: DataFrame, ks: Iterable[int] = DEFAULT_KS, chunk: int = 2048, keep_ambiguous: bool = False, tasks: int | None = None) -> DataFrame:
     """One row (organism_id, k, kmer) for each window of each k, never across contigs.
 
     A contig shorter than the largest k gives nothing, for the smaller k too. Windows with a symbol other than A, C, G, T
-    are dropped unless ``keep_ambiguous``. Null sequences give nothing. Long contigs are cut into chunks of ``chunk``
-    starts that overlap by k-1, taken from the bytes (constant-time slices), so the work is linear in the length.
+    are dropped unless ``keep_ambiguous``; a symbol outside ASCII counts as one N. Null sequences give nothing. Contigs are cut into
+    chunks of ``chunk`` starts that overlap by k-1, and windows are cut from the chunk's bytes: both are constant-time slices in
+    generated code, so the work is linear in the length. Few long contigs leave cores idle; ``tasks`` then deals the chunks out over
+    that many tasks, which moves each symbol once, before the windows multiply it.
     """
     ks = checked_ks(ks)
-    top = max(ks)
-    seq = F.upper("seq")
-    whole = contigs.where(F.length("seq") >= top).select("organism_id", seq.cast("binary").alias("_bytes"))
-    chunks = whole.select(
-        "organism_id", F.explode(F.sequence(F.lit(1), F.octet_length("_bytes"), F.lit(chunk))).alias("_at"), "_bytes"
-    ).select("organism_id", F.substring(F.col("_bytes"), F.col("_at"), F.lit(chunk + top - 1)).cast("string").alias("_text"))
-    n = F.length("_text")
-
-    def windows(k: int):
-        starts = F.sequence(F.lit(1), F.least(n - (k - 1), F.lit(chunk)))
-        cut = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring(F.col("_text"), i, F.lit(k)).alias("kmer")))
-        return F.when(n >= k, cut).otherwise(F.array().cast("array<struct<k:int,kmer:string>>"))
-
-    out = chunks.select("organism_id", F.explode(F.flatten(F.array(*[windows(k) for k in ks]))).alias("_w"))
-    out = out.select("organism_id", "_w.k", "_w.kmer")
-    return out if keep_ambiguous else out.where(only_bases(F.col("kmer")))
-
-
-def count_kmers(contigs: DataFrame, ks: Iterable[int] = DEFAULT_KS, chunk: int = 2048) -> DataFrame:
-    """Forward-strand counts (organism_id, k, kmer, cnt); one shuffle after partial aggregation, all k in one pass."""
-    return kmer_windows(contigs, ks, chunk).groupBy("organism_id", "k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    low, top = min(ks), max(ks)
+    ascii_ = F.when(F.octet_length("seq") == F.length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", r"[^\x00-\x7F]", "N"))
+    whole = contigs.where(F.length("seq") >= top).select("organism_id", F.upper(ascii_).cast("binary").alias("_bytes"))
+    chunks = whole.select("organism_id", F.explode(F.sequence(F.lit(1), F.octet_length("_bytes"), F.lit(chunk))).alias("_at"), "_bytes")
+    text = F.substring(F.col("_bytes"), F.col("_at"), F.lit(chunk + top - 1))
+    if not keep_ambiguous:
+        text = F.regexp_replace(text.cast("string"), "[^ACGT]", "N").cast("binary")
+    chunks = chunks.select("organism_id", text.alias("_text"))
+    if tasks is not None:
+        chunks = chunks.repartition(tasks)
+    starts = F.sequence(F.lit(1), F.least(F.octet_length("_text") - (low - 1), F.lit(chunk)))
+    out = chunks.where(F.octet_length("_text") >= low).select("organism_id", "_text", F.explode(starts).alias("_i"))
+    out = out.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.octet_length("_text") - F.col("_i") + 1 >= F.col("k"))
+    out = out.select("organism_id", "k", F.substring(F.col("_text"), F.col("_i"), F.col("k")).cast("string").alias("kmer"))
+    return out if keep_ambiguous else out.where(~F.contains("kmer", F.lit("N")))
+
+
+def count_kmers(contigs: DataFrame, ks: Iterable[int] = DEFAULT_KS, chunk: int = 2048, tasks: int | None = None) -> DataFrame:
+    """Forward-strand counts (organism_id, k, kmer, cnt); one shuffle after partial aggregation, all k in one pass.
+
+    ``tasks`` deals the chunks of long contigs out before (see kmer_windows).
+    """
+    return kmer_windows(contigs, ks, chunk, tasks=tasks).groupBy("organism_id", "k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def count_status(contigs: DataFrame, counts: DataFrame) -> DataFrame:

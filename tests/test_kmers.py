@@ -51,6 +51,21 @@ def test_too_short_null_and_empty(spark):
     assert counted(counting.count_kmers(contigs(spark, ("x", "A")).limit(0), [1])) == {}
 
 
+def test_symbols_outside_ascii_spoil_only_their_own_windows(spark):
+    rows = [("x", "ACGTé" * 9 + "ACGTACGT"), ("y", "ßACGTTT\u4e16ACG\U0001f9ecTTAC"), ("z", "acgtaﬁcgta")]
+    want = brute([(o, "".join(c if c.isascii() else "N" for c in s)) for o, s in rows], [2, 4])
+    for chunk in (1, 3, 5, 2048):
+        assert counted(counting.count_kmers(contigs(spark, *rows), [2, 4], chunk)) == want
+    kept = counting.kmer_windows(contigs(spark, *rows), [4], 3, keep_ambiguous=True)
+    assert kept.count() == sum(len(s) - 3 for _, s in rows)
+
+
+def test_chunks_dealt_out_over_tasks_change_nothing(spark):
+    rows = [("x", "ACGTTGCA" * 200), ("y", "GATTACA" * 3)]
+    dealt = counting.count_kmers(contigs(spark, *rows), [3, 8], 64, tasks=3)
+    assert counted(dealt) == brute(rows, [3, 8])
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 64, 2048])
 def test_chunks_change_nothing(spark, chunk):
     rnd = random.Random(3)
