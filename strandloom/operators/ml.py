@@ -99,7 +99,7 @@ def select_by_variance(vectors: DataFrame, threshold: float = 0.0, features: str
 
 
 def silhouette(clustered: DataFrame, features: str = "features", label: str = "prediction") -> float:
-    """Simplified silhouette with squared Euclidean distances to the clusters' means; one cluster gives 0."""
+    """Mean silhouette with squared Euclidean distances, from each cluster's sums, so no points meet; one cluster gives 0."""
     if clustered.select(label).distinct().limit(2).count() < 2:
         return 0.0
     return ClusteringEvaluator(featuresCol=features, predictionCol=label).evaluate(clustered)

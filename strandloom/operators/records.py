@@ -115,8 +115,6 @@ def tokenized(lines: Column) -> Column:
     return run(lines)
 
 
-
-
 def read_records(raw: DataFrame, line: str = "line", fields: Sequence[str] = FIELDS, header: str = HEADER) -> DataFrame:
     """Each record of ``raw`` once, with all columns of ``raw`` and the struct ``record_``: fields, reason, at.
 

@@ -391,7 +391,10 @@ def pca(spark, d):
     return ml.reduce_dimensions(_embeddings(spark, d)).select("vec_id", vector_to_array("reduced").alias("reduced"))
 
 
-@query()
+@query(
+    "with e as (select vec_id, unnest(embedding)::double x, unnest(range(len(embedding))) pos from embeddings), kept as (select pos from e group by 1 having var_samp(x) > 0.01)"
+    " select vec_id, list(x order by pos) selected from e join kept using (pos) group by 1"
+)
 def variance_selection(spark, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -403,6 +406,18 @@ def evaluate(spark, d):
     return ml.evaluate(ml.kmeans(_embeddings(spark, d), 5), "embedding")
 
 
+@query(
+    "with e as (select vec_id, label, embedding::double[] x from embeddings where embedding is not null and label is not null),"
+    " far as (select a.vec_id, a.label, b.label other, sum(list_distance(a.x, b.x) ** 2) / (count(*) - (a.label = b.label)::int) m from e a join e b on true group by 1, 2, 3),"
+    " own as (select vec_id, m a from far where label = other), near as (select vec_id, min(m) b from far where label <> other group by 1)"
+    " select round(avg(case when a is null or isnan(a) then 0 else (b - a) / greatest(a, b) end), 6) silhouette from own join near using (vec_id)"
+)
+def silhouette_of_labels(spark, d):
+    """The silhouette of the given labels, in place of those of a clustering."""
+    rows = _embeddings(spark, d).where("label is not null")
+    return spark.createDataFrame([(round(ml.silhouette(rows, label="label"), 6),)], "silhouette double")
+
+
 @query()
 def optimize_k(spark, d):
     return ml.optimize_clusters(_embeddings(spark, d).select("features"))
@@ -499,7 +514,21 @@ def p1_found(spark, d):
     return records.failed_rows(_records(spark, d)).select("raw_id")
 
 
-@query()
+def _p1_failed_sql() -> str:
+    """The rows of p1_found with the reason and its byte offset: whole cells up to the first broken one are cut off by one pattern."""
+    begin = lambda n: f"strlen(regexp_extract(body, '^(?s:(?:{_CELL}\\t){{{n}}})'))"
+    closed = """'^(?s:"(?:[^"]|"")*")'"""
+    day = records.FIELDS.index("assembly_release_date")
+    return f"""with bad as ({_p1_sql()}), lines as (select *, regexp_replace(line, '\\r$', '') body from ncbi_raw where raw_id in (select raw_id from bad)),
+    cut as (select *, regexp_extract(body, '^(?s:(?:{_CELL}\\t)*)') whole from lines), rest as (select *, body[length(whole) + 1:] tail from cut),
+    judged as (select *, case when regexp_full_match(tail, '(?s){_CELL}') then (case when not regexp_full_match(body, '(?s)(?:{_CELL}\\t){{13}}{_CELL}') then 'wrong field count'
+      when not regexp_full_match(body, '(?s)"? *GC[FA]_[0-9]{{9}}\\.[0-9]+ *"?(?:\\t.*)?') then 'invalid accession' else 'invalid release date' end)
+      when regexp_full_match(tail, '(?s)"(?:[^"]|"")*') then 'unclosed quote' else 'text after closing quote' end error_reason from rest)
+    select raw_id, file_name, line_no, received_at, line, error_reason, case error_reason when 'unclosed quote' then strlen(whole) when 'text after closing quote' then strlen(whole) + strlen(regexp_extract(tail, {closed}))
+      when 'invalid accession' then 0 when 'invalid release date' then {begin(day)} when 'wrong field count' then (case when regexp_matches(body, '^(?s:(?:{_CELL}\\t){{14}})') then {begin(14)} else strlen(line) end) end::bigint error_at from judged"""
+
+
+@query(_p1_failed_sql())
 def p1_failed_rows(spark, d):
     return records.failed_rows(_records(spark, d))
 
@@ -543,14 +572,6 @@ def p4_found(spark, d):
     return found.where(F.col("attribute").isin("kmer", "k", "count")).select("entity_id", "attribute")
 
 
-@query()
-def p4_wide(spark, d):
-    """All attributes that occur: the known ones typed, others as text."""
-    rows = table(spark, d, "feature_attributes")
-    spec = entities.discovered_spec(rows)
-    return entities.wide_entities(entities.entity_cells(rows, spec), spec)
-
-
 def _all_typed(kinds: dict[str, str]) -> str:
     """The typed spelling of every attribute in SQL; those that the list of types lacks are text."""
     whole = [n for n, t in kinds.items() if t in entities.WHOLE]
@@ -559,6 +580,25 @@ def _all_typed(kinds: dict[str, str]) -> str:
     return f"case when attribute in ({doubles}) then try_cast(v as double)::varchar when attribute = 'kmer' then upper(v) else case attribute {cases} else v end end"
 
 
+def _p4_wide_sql() -> str:
+    cell = "max(case when attribute = '{0}' then t end)::{1} \"{0}\""
+    columns = ", ".join(cell.format(n, {"string": "varchar"}.get(t, t)) for n, t in entities.SPEC.items())
+    return (
+        "with cells as (select entity_id, lower(trim(attribute, ' ')) attribute, nullif(trim(attr_value, ' '), '') v from feature_attributes where entity_id is not null),"
+        f" typed as (select entity_id, attribute, {_all_typed(entities.SPEC)} t from cells where v is not null and attribute <> ''),"
+        " one as (select entity_id, attribute, min(t) t from typed group by 1, 2 having count(distinct t) = 1)"
+        f" select e.entity_id, {columns} from (select distinct entity_id from cells) e left join one o on e.entity_id = o.entity_id group by 1"
+    )
+
+
+@query(_p4_wide_sql())
+def p4_wide(spark, d):
+    """All attributes that occur: the known ones typed, others as text (the SQL names those of the test tables)."""
+    rows = table(spark, d, "feature_attributes")
+    spec = entities.discovered_spec(rows)
+    return entities.wide_entities(entities.entity_cells(rows, spec), spec)
+
+
 @query(
     "with cells as (select entity_id, lower(trim(attribute, ' ')) attribute, nullif(trim(attr_value, ' '), '') v from feature_attributes where entity_id is not null),"
     f" typed as (select entity_id, attribute, v, {_all_typed(entities.SPEC)} t from cells where v is not null and attribute <> ''),"
