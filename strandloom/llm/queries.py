@@ -163,7 +163,16 @@ def p8_found(spark, d):
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
-@query()
+_PLACED = _GRAMS.replace("select {id}, unnest(", "select {id}, unnest(range(len(w) - 11)) pos, unnest(", 1)
+
+
+@query(
+    f"with d as ({_PLACED.format(id='doc_id', table='documents')}), i as ({_PLACED.format(id='item_id', table='eval_items')}),"
+    " met as (select distinct doc_id, item_id, d.pos - i.pos shift, d.pos from d join i using (g)),"
+    " runs as (select *, pos - row_number() over (partition by doc_id, item_id, shift order by pos) run from met),"
+    " long as (select doc_id, item_id, count(*) + 11 words from runs group by doc_id, item_id, shift, run)"
+    " select doc_id, item_id, max(words)::int words from long group by 1, 2"
+)
 def p8_leaks(spark, d):
     return _leaks(spark, d)
 
