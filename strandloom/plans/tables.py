@@ -29,7 +29,8 @@ def contigs(spark: SparkSession, sf_dir: str, name: str = "customer") -> DataFra
     key, organism = {"customer": ("c_custkey", F.col("c_nationkey")), "orders": ("o_orderkey", F.col("o_custkey") % 25)}[name]
     seq = F.substring(F.concat(*[_letters(p, key) for p in "abcd"]), F.lit(1), (F.lit(4) + F.col(key) % 125).cast("int"))
     rows = spread(table(spark, sf_dir, name).select(key, "c_nationkey" if name == "customer" else "o_custkey"))
-    return rows.select(F.concat(F.lit("ORG_"), organism).alias("organism_id"), F.col(key).alias("contig_id"), seq.alias("seq"))
+    # exploded, as filters on the text would else be worked out a second time, by the few tasks that read the files
+    return rows.select(F.concat(F.lit("ORG_"), organism).alias("organism_id"), F.col(key).alias("contig_id"), F.explode(F.array(seq)).alias("seq"))
 
 
 def _sql_letters(prefix: str, key: str) -> str:
