@@ -27,7 +27,7 @@ def count(spark: SparkSession, args: argparse.Namespace) -> None:
     """Counts the k-mers of all FASTA files of a folder; a file that cannot be read is logged, and the others are counted."""
     register(spark)
     contigs = spark.read.format("fasta_ordered").option("errors", "keep").load(args.input)
-    counts = count_kmers(contigs, args.k)
+    counts = count_kmers(contigs, args.k, tasks=args.tasks)
     sinks.write_kmer_text(counts, args.output, args.compress)
     for r in count_status(contigs, counts).where("status <> 'ok'").limit(100).collect():
         log.warning("%s: %s", r.organism_id, r.status)
@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if run is count:
             stage.add_argument("-k", type=int, nargs="+", default=list(DEFAULT_KS))
             stage.add_argument("--compress", action="store_true")
+            stage.add_argument("--tasks", type=int, help="deal the chunks of a few long contigs out over so many tasks")
         elif run is features:
             stage.add_argument("--groups", default="all", choices=list(FEATURE_SETS))
         else:

@@ -56,8 +56,12 @@ def rank4(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("bigint")
 
 
-def base_count(kmer: Column, bases: str) -> Column:
-    return F.length(kmer) - F.length(F.translate(kmer, bases, ""))
+def base_count(text: Column, bases: str) -> Column:
+    """How many letters of ``bases`` a text holds; replace() works on bytes, so also whole contigs take linear time without objects."""
+    rest = text
+    for b in bases:
+        rest = F.replace(rest, F.lit(b), F.lit(""))
+    return F.length(text) - F.length(rest)
 
 
 def gc_percent(kmer: Column) -> Column:

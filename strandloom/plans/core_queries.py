@@ -221,11 +221,13 @@ def kmer_incremental(spark, d):
     return metadata.kmer_stats(todo).select("organism_id", "k_value", "total_kmers", "unique_kmers")
 
 
-@query(f"with {LOADED}, {STATS}, {LATEST}, ks as (select organism_id genome_id, string_agg(k_value || ':' || total_kmers, ',' order by k_value) kmers from stats where organism_id is not null group by 1) select coalesce(m.genome_id, ks.genome_id) genome_id, total_size, contigs, kmers from meta m full join ks on m.genome_id = ks.genome_id")
+@query(f"with {LOADED}, {STATS}, {LATEST}, ks as (select organism_id genome_id, string_agg(concat_ws(':', k_value, total_kmers, unique_kmers, max_count, min_count, round(mean_count * 1000000)::bigint, (median_count * 2)::bigint, estimated_genome_size), ',' order by k_value) kmers from stats where organism_id is not null group by 1) select coalesce(m.genome_id, ks.genome_id) genome_id, total_size, contigs, kmers from meta m full join ks on m.genome_id = ks.genome_id")
 def meta_full(spark, d):
-    stats = metadata.kmer_stats(_loaded(spark, d)).where("organism_id is not null").select("organism_id", "k_value", "total_kmers")
+    stats = metadata.kmer_stats(_loaded(spark, d)).where("organism_id is not null")
     doc = metadata.metadata_document(_latest(spark, d).select("genome_id", "total_size", "contigs"), stats)
-    pairs = F.transform(F.array_sort(F.map_values("kmers")), lambda s: F.concat_ws(":", s.k_value, s.total_kmers))
+    whole = lambda x: F.round(x).cast("bigint").cast("string")
+    cells = lambda s: [s[c].cast("string") for c in ("k_value", "total_kmers", "unique_kmers", "max_count", "min_count")]
+    pairs = F.transform(F.array_sort(F.map_values("kmers")), lambda s: F.concat_ws(":", *cells(s), whole(F.round(s.mean_count, 6) * 1000000), whole(s.median_count * 2), s.estimated_genome_size.cast("string")))
     return doc.withColumn("kmers", F.when(F.col("kmers").isNotNull(), F.array_join(pairs, ",")))
 
 
